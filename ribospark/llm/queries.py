@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import MARK, NAME, NUM, UNIT, UNITS, leaks
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
+from .licenses import RULES, SENTENCES, pattern, scan_licenses
 from .mixing import mix
 from .quality import fit_quality, score_quality
 from .sharding import shard_documents
+from .suffix_dedup import remove_repeats
 from .url_filter import filter_urls
 from .warc import archive_pages
 
@@ -23,6 +26,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -35,10 +42,18 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -49,11 +64,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op3_jaccard_join, op4_hash_tree, op5_exact_dedup, op7_url_filter, op9_mix, op10_quality)}
+    return {f.__name__: f for f in (op1_warc, op2_licenses, op3_jaccard_join, op4_hash_tree, op5_exact_dedup, op6_decontaminate, op7_url_filter, op8_suffix_dedup, op9_mix, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": EXACT_DEDUP}
+    return {"op2_licenses": LICENSES, "op5_exact_dedup": EXACT_DEDUP, "op6_decontaminate": DECONTAMINATE}
 
 
 #: A-Z are lowered one by one: DuckDB's lower() would change other letters as well.
@@ -64,3 +79,38 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM (SELECT doc_id, {LOWERED} AS norm FROM documents)
 WINDOW same AS (PARTITION BY norm)
 """
+
+_KNOWN = ", ".join(f"('{i}', '{x}')" for i, x in SENTENCES)
+_RULES = ", ".join(f"('{name}', '{pattern(ids)}')" for name, ids in RULES)
+
+LICENSES = rf"""
+WITH known(sentence_id, sentence) AS (VALUES {_KNOWN}), rules(license, pattern) AS (VALUES {_RULES}),
+lines AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(lower(text), '([.!?;:])[ \t\r]+', '\1' || chr(10), 'g'), '[^a-z0-9.\n]+', ' ', 'g'), '[ .]*\n[ .]*', chr(10), 'g'), chr(10)) AS s FROM documents),
+cut AS (SELECT doc_id, unnest(range(len(s))) AS place, regexp_replace(unnest(s), '^[ .]+|[ .]+$', '', 'g') AS sentence FROM lines),
+seq AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS known_sentences, '|' || string_agg(sentence_id, '|' ORDER BY place) || '|' AS ids FROM cut JOIN known USING (sentence) GROUP BY doc_id),
+hit AS (SELECT * FROM seq JOIN rules ON contains(ids, pattern))
+SELECT DISTINCT doc_id, known_sentences, license FROM hit h
+WHERE NOT EXISTS (SELECT 1 FROM hit o WHERE o.doc_id = h.doc_id AND o.pattern <> h.pattern AND contains(o.pattern, h.pattern))
+"""
+
+
+def _windows(source: str, key: str) -> str:
+    """SQL of the windows of ``text``, named by their words instead of a hash."""
+    space = r"[ \t\n\x0B\f\r]"
+    return rf"""
+    SELECT {key}, n, pos, array_to_string(w[pos + 1 : pos + 5], ' ') AS h, w[pos + 1 : pos + 5] AS w5, raw[pos + 1 : pos + 5] AS r5 FROM (
+      SELECT *, unnest(range(n)) AS pos FROM (
+        SELECT {key}, string_split(canon, ' ') AS w, string_split(plain, ' ') AS raw, greatest(len(string_split(canon, ' ')) - 4, 1) AS n FROM (
+          SELECT {key}, plain, regexp_replace(lower(regexp_replace(regexp_replace(plain, '{MARK}[^ ]+', '{NAME}', 'g'), '[^ ]*[0-9][^ ]*', '{NUM}', 'g')), '{NUM} ({UNITS})( |$)', '{NUM} {UNIT}\2', 'g') AS canon FROM (
+            SELECT {key}, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(^|{space})(\p{{Lu}}\p{{Ll}})', '\1{MARK}\2', 'g'), '(^|[.!?]{space}|\n){MARK}', '\1', 'g'), '[^\p{{L}}\p{{N}}{MARK} \t\n\x0B\f\r]+', '', 'g'), '{space}+', ' ', 'g')) AS plain FROM {source})) WHERE canon <> ''))"""
+
+
+DECONTAMINATE = rf"""
+WITH items AS ({_windows("benchmark", "item_id")}), found AS ({_windows("documents", "doc_id")}),
+hits AS (SELECT doc_id, item_id, items.n AS n_windows, found.pos - items.pos AS diagonal, items.pos AS ipos, items.w5 AS w5, items.r5 AS i5, found.r5 AS d5 FROM found JOIN items USING (h)),
+slots AS (SELECT DISTINCT doc_id, item_id, diagonal, lower(i) AS i, lower(d) AS d FROM (SELECT doc_id, item_id, diagonal, unnest(w5) AS w, unnest(i5) AS i, unnest(d5) AS d FROM hits) WHERE w IN ('{NUM}', '{NAME}', '{UNIT}')),
+lines AS (SELECT doc_id, item_id, diagonal, count(*) AS pairs, count(DISTINCT i) AS own, bool_or(i <> d) AS changed FROM slots GROUP BY ALL),
+good AS (SELECT hits.*, coalesce(changed, false) AS changed FROM hits LEFT JOIN lines USING (doc_id, item_id, diagonal) WHERE pairs IS NULL OR pairs = own)
+SELECT doc_id, item_id, CAST(n_windows AS INTEGER) AS n_windows, CAST(count(DISTINCT ipos) AS INTEGER) AS matched, bool_or(changed) AS changed
+FROM good GROUP BY doc_id, item_id, n_windows HAVING count(DISTINCT ipos) >= 0.8 * n_windows
+"""
