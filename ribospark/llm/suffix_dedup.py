@@ -21,71 +21,11 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import bounded_batches, materialize
-from .shingles import _BASE, _table, mix
-
-CHUNK_BYTES, CHUNK_DOCS = 1 << 23, (1 << 16) - 1
-LAST = (1 << 63) - 1
-
-
-def _chunks(batches):
-    """Rows ``base, ids, sizes, source, body``: the chunk's ids, text sizes, the place of the copy that stands for each text, and the distinct texts."""
-    base, n = TaskContext.get().partitionId() << 33, 0
-    ids: list[int] = []
-    texts: list[bytes] = []
-    held = 0
-
-    def flush():
-        nonlocal n
-        order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
-        seen: dict[bytes, int] = {}
-        source, own = [], []
-        for place, i in enumerate(order):
-            if texts[i] not in seen:
-                seen[texts[i]] = place
-                own.append(texts[i])
-            source.append(seen[texts[i]])
-        start = base + n
-        n += len(ids)
-        ordered = np.array([ids[i] for i in order], np.int64)
-        sizes = np.array([len(texts[i]) for i in order], np.int64)
-        return pa.record_batch({
-            "base": pa.array([start], pa.int64()), "ids": [ordered.tobytes()], "sizes": [sizes.tobytes()],
-            "source": [np.array(source, np.int32).tobytes()], "body": [zstandard.compress(b"".join(own), 1)],
-        })
-
-    for batch in batches:
-        for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            data = (x or "").encode()
-            if ids and (held + len(data) > CHUNK_BYTES or len(ids) >= CHUNK_DOCS):
-                yield flush()
-                ids, texts, held = [], [], 0
-            ids.append(LAST if i is None else i)
-            texts.append(data)
-            held += len(data)
-    if ids:
-        yield flush()
-
-
-CHUNK = "base long, ids binary, sizes binary, source binary, body binary"
-
-
-class _Chunk:
-    """A chunk opened: ``raw`` holds the distinct texts end to end, text j of document ``own[j]`` from ``starts[j]``."""
-
-    def __init__(self, row: dict):
-        self.base = row["base"]
-        self.ids, self.sizes = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["sizes"], np.int64)
-        self.source = np.frombuffer(row["source"], np.int32)
-        self.own = np.flatnonzero(self.source == np.arange(len(self.source)))
-        body = zstandard.decompress(row["body"])
-        self.raw = np.frombuffer(body, np.uint8)
-        self.starts = np.concatenate([[0], np.cumsum(self.sizes[self.own])]).astype(np.int64)
 
+from .chunks import LAST, Chunk, chunked
+from .common import materialize
+from .shingles import _table, mix
 
 def half_ranks(raw: np.ndarray, k: int) -> np.ndarray:
     """The rank of the ``k`` bytes from each position."""
@@ -106,7 +46,7 @@ def _sliding_least(values: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(least[:n], least[w - length : w - length + n]) if length < w else least[:n]
 
 
-def selected(chunk: _Chunk, length: int, ranges: int):
+def selected(chunk: Chunk, length: int, ranges: int):
     """Of the chunk's full-length strings, grouped by the position they select: ``text, at, lo, hi`` (first and last start
     of the group), with ``range`` and ``residue`` of the selected rank; sorted by range."""
     k = (length + 1) // 2
@@ -147,7 +87,7 @@ def _sent(length: int, ranges: int):
     def send(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                chunk = _Chunk(row)
+                chunk = Chunk(row)
                 text, _, _, _, where, residue = selected(chunk, length, ranges)
                 packed = residue.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
                 cuts = _cuts(where)
@@ -179,7 +119,7 @@ def _contexts(length: int, ranges: int):
         """Of one chunk: the bytes of the full-length strings around the positions left, for each range."""
         out: dict[str, list] = {"range": [], "base": [], "places": [], "bytes": []}
         for row in chunks.to_pylist():
-            chunk = _Chunk(row)
+            chunk = Chunk(row)
             text, _, lo, hi, where, _ = selected(chunk, length, ranges)
             marks = dict(zip(bits["range"].to_pylist(), bits["bits"].to_pylist(), strict=True))
             for a, b in _cuts(where):
@@ -249,7 +189,7 @@ def _removed(length: int, with_kept: bool):
         doc, begin, end = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
         rows = []
         for row in chunks.to_pylist():
-            chunk = _Chunk(row)
+            chunk = Chunk(row)
             text_of = np.full(len(chunk.ids), -1)
             text_of[chunk.own] = np.arange(len(chunk.own))
             shift = chunk.starts[text_of[doc]]
@@ -286,10 +226,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     if length < 4:
         raise ValueError("length must be at least 4 bytes")
     spark = docs.sparkSession
-    bounded_batches(spark)
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    chunks = materialize(texts.mapInArrow(_chunks, CHUNK), "chunks")
+    chunks = chunked(docs, id_col, text_col)
     ranks = chunks.mapInArrow(_sent(length, ranges), "range int, base long, residues binary, texts binary")
     bits = ranks.groupBy("range").applyInArrow(_not_unique, "base long, range int, bits binary")
     by_chunk = lambda df: chunks.groupBy("base").cogroup(df.groupBy("base"))
