@@ -1,8 +1,77 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: quality, near duplicates, benchmark leaks, mixing, sharding.
 
-STAGES = []
+Each stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor kept. ``run``
+writes each stage's result as Parquet in the shared folder and rereads it for the next one, so
+a lost executor never costs more than the stage at hand.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ribospark.llm.common import materialize
+from ribospark.llm.decontaminate import decontaminate
+from ribospark.llm.jaccard_join import jaccard_components
+from ribospark.llm.mixing import mix
+from ribospark.llm.quality import fit_quality, keep_good
+from ribospark.llm.sharding import shard_documents
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones, does not reject."""
+    return keep_good(docs, fit_quality(docs, _table(spark, sf_dir, "labels")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the least id. Of rows repeated under one id with one text, one stays;
+    documents without words or without id link with nothing and stay."""
+    found = materialize(jaccard_components(docs), "components")
+    dropped = materialize(found.where("component_id <> doc_id").select("doc_id").distinct(), "dropped")
+    again = materialize(found.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "again")
+    kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    if again.limit(1).count() == 0:
+        return kept
+    repeated = kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(repeated)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole documents as often as the mix takes their words: ``taken / size`` rounded, so none, or up to three times."""
+    taken = mix(docs).groupBy("doc_id").agg(F.round(F.try_divide(F.sum("taken"), F.sum("size"))).cast("int").alias("_copies"))
+    taken = materialize(taken.where("_copies > 0").withColumnRenamed("doc_id", "_id"), "copies")
+    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and slot of every row."""
+    return shard_documents(docs)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", benchmark_leaks),
+    ("mixing sources", mixture),
+    ("sharding", sharding),
+]
+
+#: The classifier can't be expressed in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    return docs
