@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, materialize
 
-CHUNK_BYTES, CHUNK_DOCS = 1 << 23, (1 << 16) - 1
+CHUNK_BYTES, CHUNK_DOCS = 1 << 22, (1 << 16) - 1
 #: Stands for a null id: after every other.
 LAST = (1 << 63) - 1
 CHUNK = "base long, ids binary, sizes binary, source binary, body binary"

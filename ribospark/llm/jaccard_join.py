@@ -16,66 +16,55 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, materialize
+from .chunks import LAST, Chunk, chunked
+from .common import components, materialize, release
 from .shingles import fingerprint, mix, shingle_sets
 
-CHUNK_SHINGLES, CHUNK_DOCS = 1 << 21, 1 << 16
 ORDERS = 3
-TILE = 1500
+#: Texts, and shingles of texts, that one tile holds about.
+TILE, TILE_SHINGLES = 1500, 1 << 20
 
 
 def _packed(k: int, ranges: int):
-    """Rows ``range, base, directory, residues, docs``: the chunk's directory once, and its residues for each range."""
+    """Rows ``range, base, directory, residues, docs``: a chunk's directory once, and its residues for each range."""
 
     def pack(batches):
-        base, n = TaskContext.get().partitionId() << 33, 0
-        ids: list = []
-        sets: list[np.ndarray] = []
-        held = 0
-
-        def flush():
-            nonlocal n
-            prints = [fingerprint(s) for s in sets]
-            seen: dict[tuple, int] = {}
-            source = np.array([seen.setdefault(p, i) for i, p in enumerate(prints)], np.int64)
-            own = [s for i, s in enumerate(sets) if source[i] == i]
-            tokens = np.concatenate(own) if own else np.zeros(0, np.uint64)
-            doc = np.repeat(np.flatnonzero(source == np.arange(len(sets))), [len(s) for s in own]).astype(np.uint16)
-            at = ((tokens >> np.uint64(24)) % np.uint64(ranges)).astype(np.int32)
-            order = np.argsort(at, kind="stable")
-            residues = (tokens[order] & np.uint64(0xFFFFFF)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
-            doc, at = doc[order], at[order]
-            cuts = np.flatnonzero(np.diff(at, prepend=-1))
-            start = base + n
-            n += len(sets)
-            directory = pa.table({
-                "doc_id": pa.array(ids, pa.int64()), "rid": pa.array(range(start, start + len(sets)), pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()),
-                "fp1": pa.array([p[0] for p in prints], pa.int64()), "fp2": pa.array([p[1] for p in prints], pa.int64()), "source": pa.array(source, pa.int64()),
-            })
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, directory.schema) as out:
-                out.write_table(directory)
-            yield _blobs([-1 - (start % ranges)], start, [sink.getvalue().to_pybytes()], [None], [None])
-            ends = [*cuts[1:], len(at)]
-            for i in range(0, len(cuts), 256):
-                some = range(i, min(i + 256, len(cuts)))
-                yield _blobs([int(at[cuts[j]]) for j in some], start, [None] * len(some), [np.ascontiguousarray(residues[cuts[j] : ends[j]]).tobytes() for j in some], [doc[cuts[j] : ends[j]].tobytes() for j in some])
-
         for batch in batches:
-            found = shingle_sets(batch.column(1).to_pylist(), k)
-            for i, s in zip(batch.column(0).to_pylist(), found, strict=True):
-                ids.append(i)
-                sets.append(s)
-                held += len(s)
-                if held >= CHUNK_SHINGLES or len(ids) >= CHUNK_DOCS:
-                    yield from flush()
-                    ids, sets, held = [], [], 0
-        if ids:
-            yield from flush()
+            for row in batch.to_pylist():
+                yield from blobs(Chunk(row))
+
+    def blobs(chunk: Chunk):
+        sets = shingle_sets(chunk.texts(), k)
+        prints = [fingerprint(s) for s in sets]
+        seen: dict[tuple, int] = {}
+        source = np.array([seen.setdefault(p, i) for i, p in enumerate(prints)], np.int64)
+        own = [i for i in range(len(sets)) if source[i] == i and len(sets[i])]
+        tokens = np.concatenate([sets[i] for i in own]) if own else np.zeros(0, np.uint64)
+        doc = np.repeat(np.array(own, np.uint16), [len(sets[i]) for i in own])
+        at = ((tokens >> np.uint64(24)) % np.uint64(ranges)).astype(np.int32)
+        order = np.argsort(at, kind="stable")
+        residues = (tokens[order] >> np.uint64(40)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+        doc, at = doc[order], at[order]
+        of = np.zeros(len(chunk.ids), np.int64)
+        of[chunk.own] = np.arange(len(chunk.own))
+        text = of[chunk.source]  # of each row, its place among the chunk's distinct texts
+        column = lambda values: pa.array(np.array(values, np.int64)[text] if len(text) else [], pa.int64())
+        directory = pa.table({
+            "doc_id": pa.array(chunk.ids, pa.int64(), mask=chunk.ids == LAST), "rid": pa.array(chunk.base + np.arange(len(chunk.ids)), pa.int64()), "base": pa.array(np.full(len(chunk.ids), chunk.base), pa.int64()),
+            "text": pa.array(text, pa.int64()), "n": column([len(s) for s in sets]), "fp1": column([p[0] for p in prints]), "fp2": column([p[1] for p in prints]), "source": column(source),
+        })
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, directory.schema) as out:
+            out.write_table(directory)
+        yield _blobs([-1 - chunk.base % ranges], chunk.base, [sink.getvalue().to_pybytes()], [None], [None])
+        cuts = np.flatnonzero(np.diff(at, prepend=-1))
+        ends = [*cuts[1:], len(at)]
+        for i in range(0, len(cuts), 256):
+            some = range(i, min(i + 256, len(cuts)))
+            yield _blobs([int(at[cuts[j]]) for j in some], chunk.base, [None] * len(some), [np.ascontiguousarray(residues[cuts[j] : ends[j]]).tobytes() for j in some], [doc[cuts[j] : ends[j]].tobytes() for j in some])
 
     return pack
 
@@ -107,23 +96,25 @@ def _counted(table: pa.Table) -> pa.Table:
     return directory.drop_columns(["source"]).append_column("m", pa.array(m, pa.int64()))
 
 
-def repeat_filter(docs: DataFrame, k: int) -> DataFrame:
-    """``doc_id, rid, n, fp1, fp2, m`` for each row of ``docs(doc_id, text)``: set size, fingerprint, and at most how many
-    of its shingles occur in other texts (residues may collide, which only raises ``m``)."""
-    ranges = 16 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blobs = docs.mapInArrow(_packed(k, ranges), "range int, base long, directory binary, residues binary, docs binary")
+def repeat_filter(chunks: DataFrame, k: int) -> DataFrame:
+    """``doc_id, rid, base, text, n, fp1, fp2, m`` for each row: its chunk and the place of its text there, set size, fingerprint,
+    and at most how many of its shingles occur in other texts (residues may collide, which only raises ``m``)."""
+    ranges = 16 * int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blobs = chunks.mapInArrow(_packed(k, ranges), "range int, base long, directory binary, residues binary, docs binary")
     back = blobs.groupBy("range").applyInArrow(_repeated, "base long, directory binary, docs binary")
-    return back.groupBy("base").applyInArrow(_counted, "doc_id long, rid long, n long, fp1 long, fp2 long, m long")
+    return back.groupBy("base").applyInArrow(_counted, "doc_id long, rid long, base long, text long, n long, fp1 long, fp2 long, m long")
 
 
-def _token_rows(k: int):
-    def rows(batches):
-        for batch in batches:
-            sets = shingle_sets(batch.column(3).to_pylist(), k)
-            same = [i for i, s in enumerate(sets) if fingerprint(s) == (batch.column(1)[i].as_py(), batch.column(2)[i].as_py())]
-            yield pa.record_batch({"node": batch.column(0).take(pa.array(same, pa.int64())), "n": pa.array([len(sets[i]) for i in same], pa.int64()), "tokens": pa.array([sets[i].view(np.int64) for i in same], pa.list_(pa.int64()))})
+def _tokens(k: int):
+    def tokens(chunks: pa.Table, wanted: pa.Table) -> pa.Table:
+        """The shingle sets of a chunk's wanted texts."""
+        sets = []
+        for row in chunks.to_pylist() if wanted.num_rows else []:
+            texts = Chunk(row).texts()
+            sets = shingle_sets([texts[i] for i in wanted["text"].to_pylist()], k)
+        return pa.table({"node": wanted["node"], "n": pa.array([len(s) for s in sets], pa.int64()), "tokens": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
 
-    return rows
+    return tokens
 
 
 def _order_hash(i: int) -> Column:
@@ -227,7 +218,8 @@ def similarity_edges(tokens: DataFrame, num: int, den: int) -> DataFrame:
     least = first.groupBy("token").agg(F.min("node").alias("u"), F.count("*").alias("k")).where("k > 1")
     blocks = components(first.join(least, "token").select("u", F.col("node").alias("v")))
     blocks = materialize(blocks.withColumnRenamed("component", "block"), "blocks")
-    sizes = materialize(blocks.groupBy("block").agg(F.count("*").alias("size")), "sizes").select("block", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
+    sizes = blocks.join(tokens.select("node", "n"), "node").groupBy("block").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
+    sizes = materialize(sizes.select("block", F.greatest(F.ceil(F.col("size") / TILE), F.ceil(F.col("total") / TILE_SHINGLES)).cast("int").alias("tiles")), "sizes")
     texts = materialize(tokens.join(blocks, "node").join(prefix, "node").join(sizes, "block"), "tiles")
     columns = ["node", "n", "weight", "tokens", *[f"prefix{i}" for i in range(ORDERS)]]
     tile = F.pmod(F.xxhash64("node"), F.col("tiles"))
@@ -262,17 +254,14 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     A row without id has no component; an empty table gives an empty result. Shingles are compared by 64-bit hashes,
     equal sets found by 128-bit fingerprints.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = materialize(repeat_filter(docs, k), "sets")
-    classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("low"), F.min("rid").alias("node"), F.count("*").alias("size"), F.max("m").alias("m"), F.max("n").alias("n"))
-    classes = materialize(classes, "classes")
-    survivors = classes.where(F.col("m") * den >= F.col("n") * num).select(F.col("low").alias("doc_id"), "node", "fp1", "fp2")
-    survivors = materialize(survivors, "survivors")
-    texts = docs.join(survivors, "doc_id").select("node", "fp1", "fp2", "text")
-    tokens = texts.mapInArrow(_token_rows(k), "node long, n long, tokens array<long>")
-    tokens = materialize(tokens.dropDuplicates(["node"]), "tokens")
+    chunks = chunked(docs, id_col, text_col)
+    rows = materialize(repeat_filter(chunks, k), "sets")
+    classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("low"), F.min(F.struct("rid", "base", "text")).alias("first"), F.count("*").alias("size"), F.max("m").alias("m"), F.max("n").alias("n"))
+    classes = materialize(classes.select("fp1", "fp2", "low", "first.*", "size", "m", "n").withColumnRenamed("rid", "node"), "classes")
+    survivors = classes.where(F.col("m") * den >= F.col("n") * num).select("base", "text", "node")
+    tokens = chunks.groupBy("base").cogroup(survivors.groupBy("base")).applyInArrow(_tokens(k), "node long, n long, tokens array<long>")
+    tokens = materialize(tokens, "tokens")
+    release(docs.sparkSession)
     linked = components(similarity_edges(tokens, num, den))
     least = classes.join(linked, "node").groupBy("component").agg(F.min("low").alias("least"))
     least = materialize(linked.join(least, "component").select("node", "least"), "least")

@@ -20,7 +20,7 @@ from .common import bounded_batches, materialize
 
 DIMS = 1 << 17
 TRIGRAM_DIMS = 1 << 16
-PIECE = 1 << 22
+PIECE = 1 << 20
 
 _SHAPES = bytes(b"A"[0] if 65 <= c <= 90 else b"a"[0] if 97 <= c <= 122 else b"0"[0] if 48 <= c <= 57 else b"u"[0] if c >= 128 else c for c in range(256))
 _RUNS = [re.compile(b"\x01" * n) for n in (2, 3, 6)]

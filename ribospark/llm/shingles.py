@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-PIECE = 1 << 22
+PIECE = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint64)
@@ -60,11 +60,11 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(starts), np.concatenate(hashes)) if starts else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
-def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; a text of fewer than ``k`` words has its whole sequence as one."""
     out, group, size = [], [], 0
     for x in texts:
-        group.append((x or "").encode())
+        group.append(x)
         size += len(group[-1])
         if size > PIECE:
             out += _sets(group, k)
