@@ -185,6 +185,11 @@ def classification_summary(spark, sf):
     return summary.summarize_predictions(done)
 
 
+def train_k8(spark, sf):
+    """Training alone, words of 8: every stored cell of the model."""
+    return model(spark, sf, 8).cells.select("kmer", "genus_idx", "cnt")
+
+
 def classify_k8(spark, sf):
     """The defaults of the public calls: words of 8, 100 bootstraps, threshold 80."""
     s = sequences(spark, sf)
@@ -267,7 +272,7 @@ _NAMES = (
     fasta_roundtrip, header_ids, base4_encode, kmer_positions, kmer_strings, kmer_distinct, kmer_case_sensitive, padded_tokens, base10_base4_nucleotide,
     genus_dictionary, genus_sizes, genus_kmer_counts, word_priors, word_priors_dense, conditional_log_prob, classify_all_tokens, bootstrap_draws,
     bootstrap_draws_batch, classify_bootstrap_votes, classify_votes_joined, consensus_by_rank, consensus_cumulative, filter_pad_format, classification_summary,
-    classify_k8, mode_percent, fix_taxonomy, fix_qiime_taxa, tax_table, filter_train_set, down_sample, holdout_accuracy, prevalence, union_reference_sets,
+    train_k8, classify_k8, mode_percent, fix_taxonomy, fix_qiime_taxa, tax_table, filter_train_set, down_sample, holdout_accuracy, prevalence, union_reference_sets,
     json_records, map_keys_int, sort_by_indices, incertae_fill,
 )
 
@@ -358,6 +363,7 @@ def oracle_sql() -> dict[str, str]:
         "classification_summary": f"""WITH {FORMATTED}, whole AS (SELECT s.seq_no, s.id, coalesce(classification, 'Unclassified(0)' || repeat(';Unclassified_unclassified(0)', 5)) AS classification FROM seqs s LEFT JOIN formatted USING (seq_no)),
             ranked AS (SELECT seq_no, id, classification, {_RANK_COLUMNS} FROM (SELECT *, string_split(classification, ';') AS p FROM whole))
             SELECT *, concat_ws(';', Kingdom, Phylum, "Class", "Order", Family, Genus) AS observed, concat_ws(';', 'k__' || Kingdom, 'p__' || Phylum, 'c__' || "Class", 'o__' || "Order", 'f__' || Family, 'g__' || Genus) AS lineage FROM ranked""".replace("AS Order", 'AS "Order"').replace("AS Class", 'AS "Class"'),
+        "train_k8": f"{base}, {_model(8)} SELECT * FROM counts",
         "mode_percent": f"{base}, n AS (SELECT string_split(id, ';')[2] AS phylum, id AS label, count(*) AS n FROM seqs GROUP BY ALL) SELECT phylum, label, CAST(trunc(n / (sum(n) OVER (PARTITION BY phylum))::DOUBLE * 100) AS INTEGER) AS percent FROM n QUALIFY row_number() OVER (PARTITION BY phylum ORDER BY n DESC, label) = 1",
         "fix_taxonomy": f"SELECT n_nationkey, r_name || ';' || n_name || repeat(';' || n_name || '_unclassified', 4) AS lineage, r_name || ';' || n_name || repeat(';' || n_name || '_unclassified', 2) AS unsplit {_PLACES}",
         "fix_qiime_taxa": f"SELECT n_nationkey, r_name || ';' || n_name AS lineage {_PLACES}",
