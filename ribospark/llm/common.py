@@ -7,12 +7,13 @@ driver and executors), so a lost executor costs a re-read, not a recomputation.
 from __future__ import annotations
 
 import atexit
+import gc
 import sys
 import tempfile
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Functions of this package travel to the executors by value: they need no install there.
@@ -55,6 +56,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the shuffle files of finished steps removed now: Spark's cleaner waits for garbage collection in the driver."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bounded_batches(spark: SparkSession, records: int = 2000) -> None:
     """Arrow batches of whole texts: fewer rows each than Spark's default, so that a batch stays small."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > records:
@@ -68,28 +75,27 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     table. Only the count and a checksum of a round come to the driver. Nulls and loops are ignored.
     """
 
-    def table(df: DataFrame) -> DataFrame:
-        return materialize(df.where("u <> v").distinct(), "stars")
-
     def mark(df: DataFrame):
-        return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+        return tuple(df.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first())
 
+    # Each step is one exchange: the least neighbour of a node is found where its edges are, and every edge gives one edge.
     def large(e: DataFrame) -> DataFrame:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        both = both.withColumn("m", F.least("u", F.min("v").over(Window.partitionBy("u"))))
+        return both.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
     def small(e: DataFrame) -> DataFrame:
         down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        return down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        down = down.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        return down.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
 
-    now = table(edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")))
+    first = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v")
+    now = materialize(first.distinct(), "stars")
     seen = mark(now)
     if not seen[0]:
         return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(max_rounds):
-        now = table(small(table(large(now))))
+        now = materialize(small(large(now)), "stars")
         was, seen = seen, mark(now)
         if was == seen:
             break
