@@ -9,18 +9,27 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, materialize
 
-CHUNK_BYTES, CHUNK_DOCS = 1 << 22, (1 << 16) - 1
+CHUNK_DOCS = (1 << 16) - 1
 #: Stands for a null id: after every other.
 LAST = (1 << 63) - 1
 CHUNK = "base long, ids binary, sizes binary, source binary, body binary"
 
 
-def _packed(batches):
+def chunk_bytes(spark: SparkSession) -> int:
+    """Text of a chunk: 4 MB, and more (up to 64 MB) with many shuffle partitions, so that what a chunk sends to each stays a block worth sending."""
+    return min(1 << 26, max(1 << 22, 640 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def _packed(most: int):
+    return lambda batches: _chunks(batches, most)
+
+
+def _chunks(batches, most: int):
     base, n = TaskContext.get().partitionId() << 33, 0
     ids: list[int] = []
     texts: list[bytes] = []
@@ -48,7 +57,7 @@ def _packed(batches):
     for batch in batches:
         for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             data = (x or "").encode()
-            if ids and (held + len(data) > CHUNK_BYTES or len(ids) >= CHUNK_DOCS):
+            if ids and (held + len(data) > most or len(ids) >= CHUNK_DOCS):
                 yield flush()
                 ids, texts, held = [], [], 0
             ids.append(LAST if i is None else i)
@@ -58,12 +67,18 @@ def _packed(batches):
         yield flush()
 
 
+def hash_ranges(spark: SparkSession) -> int:
+    """Hash ranges of an exchange between chunks: several a shuffle partition, so that one range is small work."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(4 * n, min(16 * n, 4096))
+
+
 def chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Written rows ``base, ids, sizes, source, body``: a chunk's ids in order, its text sizes, the place of the
     copy that stands for each text, and the distinct texts compressed. Null ids are ``LAST``, null texts empty."""
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return materialize(texts.mapInArrow(_packed, CHUNK), "chunks")
+    return materialize(texts.mapInArrow(_packed(chunk_bytes(docs.sparkSession)), CHUNK), "chunks")
 
 
 class Chunk:

@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import LAST, Chunk, chunked
+from .chunks import LAST, Chunk, chunked, hash_ranges
 from .common import components, materialize, release
 from .shingles import fingerprint, mix, shingle_sets
 
 ORDERS = 3
 #: Texts, and shingles of texts, that one tile holds about.
-TILE, TILE_SHINGLES = 1500, 1 << 20
+TILE, TILE_SHINGLES = 1500, 1 << 19
 
 
 def _packed(k: int, ranges: int):
@@ -99,7 +99,7 @@ def _counted(table: pa.Table) -> pa.Table:
 def repeat_filter(chunks: DataFrame, k: int) -> DataFrame:
     """``doc_id, rid, base, text, n, fp1, fp2, m`` for each row: its chunk and the place of its text there, set size, fingerprint,
     and at most how many of its shingles occur in other texts (residues may collide, which only raises ``m``)."""
-    ranges = 16 * int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = hash_ranges(chunks.sparkSession)
     blobs = chunks.mapInArrow(_packed(k, ranges), "range int, base long, directory binary, residues binary, docs binary")
     back = blobs.groupBy("range").applyInArrow(_repeated, "base long, directory binary, docs binary")
     return back.groupBy("base").applyInArrow(_counted, "doc_id long, rid long, base long, text long, n long, fp1 long, fp2 long, m long")

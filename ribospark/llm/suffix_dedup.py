@@ -11,7 +11,8 @@ unique and leave. Round two doubles: around the positions left, every full-lengt
 ranked by the pair of its half-length ranks at offset zero and at the rest, pairs are sorted
 with their documents, and strings that an earlier document has cover their bytes.
 
-Texts travel in chunks, compressed. Copies within a chunk are ranked once.
+Texts travel in chunks, compressed. Copies within a chunk are ranked once, and a text that an
+earlier document has as a whole takes no part in round two: all its bytes go.
 """
 
 from __future__ import annotations
@@ -22,11 +23,13 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .chunks import LAST, Chunk, chunked
-from .common import materialize
+from .chunks import LAST, Chunk, chunked, hash_ranges
+from .common import materialize, release
 from .shingles import _table, mix
 
+
 def half_ranks(raw: np.ndarray, k: int) -> np.ndarray:
     """The rank of the ``k`` bytes from each position."""
     if len(raw) < k:
@@ -54,7 +57,7 @@ def selected(chunk: Chunk, length: int, ranges: int):
     if len(chunk.raw) < length:
         return none, none, none, none, none, none
     parts = []
-    span = 1 << 22
+    span = 1 << 20
     for a in range(0, len(chunk.raw) - length + 1, span):  # so that positions fit 24 bits, and memory stays small
         raw = chunk.raw[a : a + span + length - 1]
         ranks = half_ranks(raw, k)
@@ -83,6 +86,23 @@ def _cuts(where: np.ndarray):
     return list(zip(first, [*first[1:], len(where)], strict=True))
 
 
+def _prints(batches):
+    """128 bits of each distinct text of a chunk: ``base, place, id, h1, h2``."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            chunk = Chunk(row)
+            sums = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in chunk.texts()), np.int64).reshape(-1, 2)
+            yield pa.record_batch({"base": np.full(len(chunk.own), chunk.base), "place": chunk.own.astype(np.int32), "id": chunk.ids[chunk.own], "h1": np.ascontiguousarray(sums[:, 0]), "h2": np.ascontiguousarray(sums[:, 1])})
+
+
+def later_copies(chunks: DataFrame) -> DataFrame:
+    """``base, places``: of each chunk the distinct texts that a document with a smaller id, in any chunk, has as a whole."""
+    prints = materialize(chunks.mapInArrow(_prints, "base long, place int, id long, h1 long, h2 long"), "prints")
+    least = materialize(prints.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "copies")
+    later = prints.join(least, ["h1", "h2"]).where("id > least")
+    return materialize(later.groupBy("base").agg(F.collect_list("place").alias("places")), "later")
+
+
 def _sent(length: int, ranges: int):
     def send(batches):
         for batch in batches:
@@ -114,6 +134,15 @@ def _not_unique(table: pa.Table) -> pa.Table:
     return pa.table({"base": table["base"], "range": table["range"], "bits": pa.array([np.packbits(b).tobytes() for b in bits], pa.binary())})
 
 
+def _copied(rows: pa.Table, n: int) -> np.ndarray:
+    """Whether each place of a chunk is marked as a copy of an earlier document."""
+    marked = np.zeros(n, bool)
+    for places in rows["places"].to_pylist():
+        if places is not None:
+            marked[places] = True
+    return marked
+
+
 def _contexts(length: int, ranges: int):
     def contexts(chunks: pa.Table, bits: pa.Table) -> pa.Table:
         """Of one chunk: the bytes of the full-length strings around the positions left, for each range."""
@@ -121,19 +150,21 @@ def _contexts(length: int, ranges: int):
         for row in chunks.to_pylist():
             chunk = Chunk(row)
             text, _, lo, hi, where, _ = selected(chunk, length, ranges)
-            marks = dict(zip(bits["range"].to_pylist(), bits["bits"].to_pylist(), strict=True))
+            marks = {r: b for r, b in zip(bits["range"].to_pylist(), bits["bits"].to_pylist(), strict=True) if b is not None}
+            copied = _copied(bits, len(chunk.ids))[chunk.own]
             for a, b in _cuts(where):
                 if not (mark := marks.get(int(where[a]))):
                     continue
                 left = a + np.flatnonzero(np.unpackbits(np.frombuffer(mark, np.uint8), count=b - a))
+                left = left[~copied[text[left]]]
                 if not len(left):
                     continue
                 places = np.stack([chunk.ids[chunk.own[text[left]]], chunk.own[text[left]], lo[left] - chunk.starts[text[left]], hi[left] - lo[left] + length])
                 body = b"".join(chunk.raw[x : y + length].tobytes() for x, y in zip(lo[left].tolist(), hi[left].tolist(), strict=True))
                 out["range"].append(int(where[a]))
                 out["base"].append(chunk.base)
-                out["places"].append(zstandard.compress(places.astype(np.int64).tobytes(), 1))
-                out["bytes"].append(zstandard.compress(body, 1))
+                out["places"].append(zstandard.compress(places.astype(np.int64).tobytes(), 3))
+                out["bytes"].append(zstandard.compress(body, 3))
         return pa.table(out, schema=pa.schema([("range", pa.int32()), ("base", pa.int64()), ("places", pa.binary()), ("bytes", pa.binary())]))
 
     return contexts
@@ -185,7 +216,7 @@ OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed",
 
 def _removed(length: int, with_kept: bool):
     def remove(chunks: pa.Table, spans: pa.Table) -> pa.Table:
-        found = [np.frombuffer(zstandard.decompress(x), np.int64).reshape(3, -1) for x in spans["spans"].to_pylist()]
+        found = [np.frombuffer(zstandard.decompress(x), np.int64).reshape(3, -1) for x in spans["spans"].to_pylist() if x is not None]
         doc, begin, end = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
         rows = []
         for row in chunks.to_pylist():
@@ -197,10 +228,10 @@ def _removed(length: int, with_kept: bool):
             np.add.at(change, begin + shift, 1)
             np.add.at(change, end + shift, -1)
             gone = np.cumsum(change[:-1]) > 0
-            cache = {}
+            cache, copied = {}, _copied(spans, len(chunk.ids))
             for i, (doc_id, size, source) in enumerate(zip(chunk.ids.tolist(), chunk.sizes.tolist(), chunk.source.tolist(), strict=True)):
-                if doc_id != chunk.ids[source] and size >= length:
-                    kept, n_spans = b"", 1  # a copy of an earlier document of the chunk
+                if size >= length and (doc_id != chunk.ids[source] or copied[source]):
+                    kept, n_spans = b"", 1  # a copy of an earlier document
                 else:
                     if source not in cache:
                         a = chunk.starts[text_of[source]]
@@ -226,12 +257,17 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     if length < 4:
         raise ValueError("length must be at least 4 bytes")
     spark = docs.sparkSession
-    ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = hash_ranges(spark)
     chunks = chunked(docs, id_col, text_col)
+    later = later_copies(chunks)
     ranks = chunks.mapInArrow(_sent(length, ranges), "range int, base long, residues binary, texts binary")
     bits = ranks.groupBy("range").applyInArrow(_not_unique, "base long, range int, bits binary")
     by_chunk = lambda df: chunks.groupBy("base").cogroup(df.groupBy("base"))
+    bits = bits.withColumn("places", F.lit(None).cast("array<int>")).union(later.select("base", F.lit(-1), F.lit(None).cast("binary"), "places"))
     contexts = by_chunk(bits).applyInArrow(_contexts(length, ranges), "range int, base long, places binary, bytes binary")
     spans = materialize(contexts.groupBy("range").applyInArrow(_doubled(length), "base long, spans binary"), "spans")
+    del ranks, bits, contexts
+    release(spark)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    spans = spans.withColumn("places", F.lit(None).cast("array<int>")).union(later.select("base", F.lit(None).cast("binary"), "places"))
     return by_chunk(spans).applyInArrow(_removed(length, with_kept), schema)
