@@ -111,7 +111,7 @@ def _collapsed(batches):
         })
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bits: int = 10) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bits: int | None = None) -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Texts are equal when identical after lower-casing A-Z; a null text counts as empty and
@@ -121,6 +121,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     bounded_batches(spark)
+    # Blocks grow with the shuffle partitions, so that one block's fingerprints stay small work.
+    block_bits = block_bits or max(10, (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length())
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = materialize(docs.mapInArrow(_fingerprints, "doc_id long, rid long, fp long, text_sha256 string"), "rows")
     filters = rows.select("fp").mapInArrow(_filters(block_bits), "block int, remainders binary, counts binary")
