@@ -1,6 +1,6 @@
 """Sampling: deterministic bootstraps, per-group caps and hold-out splits.
 
-Random numbers are md5 digests of seed and counters, so they don't depend on partitions.
+Random numbers come from digests of seed and counters, so they don't depend on partitions.
 """
 
 from __future__ import annotations
@@ -8,11 +8,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.kmers import let
 
-def counter_random(seed: int, *counters: Column | str) -> Column:
-    """A uniform 32-bit number for a seed and counters."""
-    text = F.concat_ws(":", F.lit(str(seed)), *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in counters])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+#: Random numbers in one digest.
+WORDS = 8
+
+
+def random_words(seed: int, n: Column, *counters: Column | str) -> Column:
+    """An array of ``n`` uniform 32-bit numbers: the words of the SHA-256 digests of seed, counters and 0, 1, 2 ..."""
+    head = F.concat_ws(":", F.lit(str(seed)), *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in counters])
+    word = lambda digest: lambda j: F.conv(F.substr(digest, j * 8 + 1, F.lit(8)), 16, 10).cast("long")
+    block = lambda b: let(F.sha2(F.concat_ws(":", head, b.cast("string")), 256), lambda digest: F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), word(digest)))
+    return F.slice(F.flatten(F.transform(F.sequence(F.lit(0), F.ceil(n / WORDS).cast("int") - 1), block)), F.lit(1), n)
 
 
 def bootstraps(tokens: DataFrame, num_bs: int = 100, divider: int = 8, seed: int = 0, batch_draws: bool = False) -> DataFrame:
@@ -30,8 +38,8 @@ def bootstraps(tokens: DataFrame, num_bs: int = 100, divider: int = 8, seed: int
     rows = tokens.where(size > 0).withColumn("n_draws", F.floor(n / divider).cast("int")).where("n_draws > 0")
     rows = rows.select("seq_no", "kmers", "n_draws", F.explode(F.sequence(F.lit(0), F.lit(num_bs - 1))).alias("bs"))
     # Draws are taken before they are exploded: a row must not drag its k-mers along for each draw.
-    pick = lambda i: F.get("kmers", F.pmod(counter_random(seed, F.col("seq_no"), F.col("bs"), i), F.size("kmers")).cast("int"))
-    rows = rows.select("seq_no", "bs", F.transform(F.sequence(F.lit(0), F.col("n_draws") - 1), pick).alias("drawn"))
+    drawn = F.transform(random_words(seed, F.col("n_draws"), "seq_no", "bs"), lambda x: F.get("kmers", F.pmod(x, F.size("kmers")).cast("int")))
+    rows = rows.select("seq_no", "bs", drawn.alias("drawn"))
     return rows.select("seq_no", "bs", F.posexplode("drawn").alias("draw", "kmer"))
 
 

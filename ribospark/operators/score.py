@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sample import bootstraps
+from .sample import WORDS, bootstraps
 from .train import KmerModel
 
 #: Stored cells that may be sent to every task: 12 bytes each, so 240 MB.
@@ -71,8 +71,8 @@ class _Cells:
 
     def votes(self, kmers: np.ndarray, drawn: np.ndarray) -> np.ndarray:
         """Best genus of each row of ``drawn``, positions in ``kmers``."""
-        times = np.zeros((len(drawn), len(kmers)))
-        np.add.at(times, (np.arange(len(drawn))[:, None], drawn), 1)
+        places = drawn + np.arange(len(drawn))[:, None] * len(kmers)
+        times = np.bincount(places.ravel(), minlength=len(drawn) * len(kmers)).reshape(len(drawn), len(kmers)).astype(float)
         at = np.searchsorted(self.words, kmers)
         known = np.flatnonzero((at < len(self.words)) & (self.words[np.minimum(at, len(self.words) - 1)] == kmers)) if len(self.words) else np.zeros(0, np.int64)
         a, b = self.starts[at[known]], self.starts[at[known] + 1]
@@ -85,9 +85,9 @@ class _Cells:
 
 def draw_positions(seed: int, seq_no: int, num_bs: int, n_draws: int, size: int) -> np.ndarray:
     """The positions that ``bootstraps`` draws."""
-    head = f"{seed}:{seq_no}:"
-    found = [int.from_bytes(hashlib.md5(f"{head}{b}:{d}".encode()).digest()[:4], "big") for b in range(num_bs) for d in range(n_draws)]
-    return (np.array(found, np.int64) % size).reshape(num_bs, n_draws)
+    blocks = range(-(-n_draws // WORDS))
+    digests = b"".join(hashlib.sha256(f"{seed}:{seq_no}:{b}:{k}".encode()).digest() for b in range(num_bs) for k in blocks)
+    return np.frombuffer(digests, ">u4").reshape(num_bs, -1)[:, :n_draws].astype(np.int64) % size
 
 
 def score_dense(tokens: DataFrame, model: KmerModel, num_bs: int = 100, divider: int = 8, seed: int = 0, batch_draws: bool = False) -> DataFrame:
@@ -110,7 +110,10 @@ def score_dense(tokens: DataFrame, model: KmerModel, num_bs: int = 100, divider:
                     genus += held.votes(kmers, draw_positions(seed, seq_no, num_bs, n, len(kmers))).tolist()
             yield pa.record_batch({"seq_no": pa.array(numbers, pa.int64()), "bs": pa.array(bs, pa.int32()), "genus_idx": pa.array(genus, pa.int32())})
 
-    return tokens.select(F.col("seq_no").cast("long"), "kmers").mapInArrow(run, "seq_no long, bs int, genus_idx int")
+    # Scoring costs far more than moving the k-mers: few or uneven input files must not leave cores idle.
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = tokens.select(F.col("seq_no").cast("long"), "kmers").repartition(tasks, "seq_no")
+    return rows.mapInArrow(run, "seq_no long, bs int, genus_idx int")
 
 
 def classify_bootstraps(tokens: DataFrame, model: KmerModel, num_bs: int = 100, divider: int = 8, seed: int = 0, batch_draws: bool = False, plan: str = "auto") -> DataFrame:

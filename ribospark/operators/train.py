@@ -25,6 +25,12 @@ class KmerModel:
     cells: DataFrame
     kmer_size: int
     n_seqs: int
+    cached: tuple[DataFrame, ...] = ()
+
+    def unpersist(self) -> None:
+        """Give back what training has cached; the model can still be used, and is then computed again."""
+        for df in self.cached:
+            df.unpersist()
 
 
 def tokenise(sequences: DataFrame, kmer_size: int = 8, fold_case: bool = True, sequence_col: str = "sequence", native: bool = False) -> DataFrame:
@@ -73,4 +79,4 @@ def train(sequences: DataFrame, kmer_size: int = 8, fold_case: bool = True, nati
     counts = genus_kmer_counts(encode_labels(tokens, genera))
     counts = counts.cache() if cached else counts
     priors = word_priors(counts, n_seqs)
-    return KmerModel(genera, priors, conditional_log_prob(counts, priors, genera), kmer_size, n_seqs)
+    return KmerModel(genera, priors, conditional_log_prob(counts, priors, genera), kmer_size, n_seqs, (genera, counts) if cached else ())

@@ -304,7 +304,7 @@ _LISTS = "lists AS (SELECT seq_no, list_sort(list(kmer)) AS kmers FROM toks GROU
 
 
 def _drawn(size: str) -> str:
-    return f"""{_LISTS}, drawn AS (SELECT seq_no, bs, draw, kmers[1 + CAST(('0x' || left(md5('{SEED}:' || seq_no || ':' || bs || ':' || draw), 8))::UBIGINT % len(kmers) AS INTEGER)] AS kmer
+    return f"""{_LISTS}, drawn AS (SELECT seq_no, bs, draw, kmers[1 + CAST(('0x' || substr(sha256('{SEED}:' || seq_no || ':' || bs || ':' || draw // 8), 1 + 8 * (draw % 8), 8))::UBIGINT % len(kmers) AS INTEGER)] AS kmer
   FROM (SELECT *, unnest(range({size} // 8)) AS draw FROM (SELECT *, unnest(range({BOOTS})) AS bs FROM lists)))"""
 
 
