@@ -51,7 +51,7 @@ def _chunks(batches, most: int):
         sizes = np.array([len(texts[i]) for i in order], np.int64)
         return pa.record_batch({
             "base": pa.array([start], pa.int64()), "ids": [ordered.tobytes()], "sizes": [sizes.tobytes()],
-            "source": [np.array(source, np.int32).tobytes()], "body": [zstandard.compress(b"".join(own), 1)],
+            "source": [np.array(source, np.int32).tobytes()], "body": [zstandard.compress(b"".join(own), 3)],
         })
 
     for batch in batches:

@@ -10,6 +10,7 @@ import atexit
 import gc
 import sys
 import tempfile
+import time
 import uuid
 
 from pyspark import cloudpickle
@@ -57,9 +58,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Have the shuffle files of finished steps removed now: Spark's cleaner waits for garbage collection in the driver."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Have the shuffle files of finished steps removed now: Spark's cleaner waits for garbage collection in the driver.
+
+    One collection frees what Python held, the next what those objects held in the JVM.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def bounded_batches(spark: SparkSession, records: int = 2000) -> None:
