@@ -23,16 +23,21 @@ MOST_BROADCAST = 500_000
 
 def marked(text: Column) -> Column:
     """The text without punctuation, words that look like names marked: capitalised, and not first in a sentence or line."""
-    text = F.regexp_replace(text, f"(^|{SPACES})(\\p{{Lu}}\\p{{Ll}})", f"$1{MARK}$2")
-    text = F.regexp_replace(text, f"(^|[.!?]{SPACES}|\\n){MARK}", "$1")
-    return F.trim(F.regexp_replace(F.regexp_replace(text, f"[^\\p{{L}}\\p{{N}}{MARK} \\t\\n\\x0B\\f\\r]+", ""), f"{SPACES}+", " "))
+    text = F.regexp_replace(text, "(?=\\p{Lu}\\p{Ll})(?<=(?:^|[^.!?])[ \\t\\x0B\\f\\r])", MARK)
+    text = F.regexp_replace(text, f"[^\\p{{L}}\\p{{N}}{MARK} \\t\\n\\x0B\\f\\r]+", "")
+    # Single blanks stay as they are; only other runs are rewritten.
+    return F.trim(F.regexp_replace(text, f" *+[\\t\\n\\x0B\\f\\r]{SPACES}*+| {{2,}}", " "))
 
 
 def canonical(plain: Column) -> Column:
-    """Placeholders for the tokens of a marked text, the rest lower-cased."""
-    plain = F.regexp_replace(plain, f"{MARK}[^ ]+", NAME)
-    plain = F.regexp_replace(plain, "[^ ]*[0-9][^ ]*", NUM)
-    return F.regexp_replace(F.lower(plain), f"{NUM} ({UNITS})( |$)", f"{NUM} {UNIT}$2")
+    """Placeholders for the tokens of a marked text, the rest lower-cased. Most texts have no numbers or names: they skip those passes."""
+    plain = F.when(F.contains(plain, F.lit(MARK)), F.regexp_replace(plain, f"{MARK}[^ ]+", NAME)).otherwise(plain)
+
+    def numbered(x: Column) -> Column:
+        x = F.regexp_replace(x, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", NUM)
+        return F.regexp_replace(F.lower(x), f"{NUM} ({UNITS})( |$)", f"{NUM} {UNIT}$2")
+
+    return F.when(plain.rlike("[0-9]"), numbered(plain)).otherwise(F.lower(plain))
 
 
 def windows(rows: DataFrame, key: list[str], width: int) -> DataFrame:
@@ -42,13 +47,15 @@ def windows(rows: DataFrame, key: list[str], width: int) -> DataFrame:
     rows = rows.select(*key, "plain", canonical(F.col("plain")).alias("canon")).where("canon <> ''")
     rows = rows.select(*key, F.split("canon", " ").alias("w"), F.when(F.col("canon").rlike(f"[{NUM}{NAME}{UNIT}]"), F.split("plain", " ")).alias("raw"))
     rows = rows.withColumn("n", F.greatest(F.size("w") - width + 1, F.lit(1)))
+    rows = rows.withColumn("wh", F.transform("w", lambda x: F.xxhash64(x)))
+
     def window(i: Column) -> Column:
         words, raw = F.slice("w", i + 1, width), F.slice("raw", i + 1, width)
         held = F.exists(words, lambda x: x.isin(NUM, NAME, UNIT))
         values = F.zip_with(words, raw, lambda c, r: F.when(c.isin(NUM, NAME, UNIT), F.lower(r)))
         # Values are taken here, not after the explode: a row must not drag its text's arrays along.
         slots = F.when(F.col("raw").isNotNull(), F.when(held, values))
-        return F.struct(F.xxhash64(*[F.get("w", i + j) for j in range(width)]).alias("h"), slots.alias("slots"))
+        return F.struct(F.xxhash64(*[F.get("wh", i + j) for j in range(width)]).alias("h"), slots.alias("slots"))
 
     rows = rows.select(*key, "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), window)).alias("pos", "x"))
     return rows.select(*key, "n", "pos", "x.h", "x.slots")
