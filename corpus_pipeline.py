@@ -8,12 +8,11 @@ a lost executor never costs more than the stage at hand.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ribospark.llm.common import materialize
 from ribospark.llm.decontaminate import decontaminate
 from ribospark.llm.jaccard_join import jaccard_components
-from ribospark.llm.mixing import mix
+from ribospark.llm.mixing import mixed_documents
 from ribospark.llm.quality import fit_quality, keep_good
 from ribospark.llm.sharding import shard_documents
 
@@ -47,10 +46,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents as often as the mix takes their words: ``taken / size`` rounded, so none, or up to three times."""
-    taken = mix(docs).groupBy("doc_id").agg(F.round(F.try_divide(F.sum("taken"), F.sum("size"))).cast("int").alias("_copies"))
-    taken = materialize(taken.where("_copies > 0").withColumnRenamed("doc_id", "_id"), "copies")
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    return mixed_documents(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,6 +68,16 @@ def schedule(plan: DataFrame, slots: int, total: int, block_tokens: int) -> Data
     return hits.withColumn("at", rank).join(offsets, ["sid", "chunk"]).select("sid", "t", (F.col("offset") + F.col("at")).alias("block"))
 
 
+def _placed(docs: DataFrame, id_col: str, text_col: str, seed: str) -> DataFrame:
+    """``docs`` with ``_id, _crc, _place, _bucket``: what fixes the order of a row within its source, but for equal texts under one id."""
+    docs = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_crc", F.crc32(F.coalesce(F.encode(F.col(text_col), "UTF-8"), F.lit(b""))))
+    docs = docs.withColumn("_place", F.xxhash64(F.lit(seed), "_id"))
+    return docs.withColumn("_bucket", F.pmod(F.xxhash64("_place", "_crc"), F.lit(CHUNKS * 8)).cast("int"))
+
+
+ORDER = ("_bucket", "_place", "_id", "_crc")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", total_share: float = 1.0, max_repeats: int = 3, weights: tuple[float, ...] = (5, 2, 1), slots: int = 1 << 18, seed: str = "mix") -> DataFrame:
     """One row per input row: ``doc_id, size, source_size, target, taken, source``.
 
@@ -76,14 +86,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     about ``slots`` blocks in all, whatever the input, so a source comes within a few blocks
     of its target. A null source is a source of its own, last in order. Sources without words
     get target 0. Order within a source is by a hash of the id, so reruns agree; rows repeated
-    under one id are ordered by size and text checksum. An empty table gives an empty result.
+    under one id are ordered by text checksum. An empty table gives an empty result.
     """
+    rows = _mixed(docs, id_col, text_col, source_col, total_share, max_repeats, weights, slots, seed)
+    return rows.select(F.col("_id").alias("doc_id"), "size", "source_size", "target", "taken", "source")
+
+
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, total_share: float, max_repeats: int, weights: tuple[float, ...], slots: int, seed: str) -> DataFrame:
     text = F.col(text_col)
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.col(source_col).alias("source"), F.crc32(F.coalesce(F.encode(text, "UTF-8"), F.lit(b""))).alias("crc"),
-    )
-    rows = rows.withColumn("place", F.xxhash64(F.lit(seed), "doc_id")).withColumn("bucket", F.pmod(F.xxhash64("place", "crc"), F.lit(CHUNKS * 8)).cast("int"))
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    rows = _placed(docs, id_col, text_col, seed).select(*ORDER, size.alias("size"), F.col(source_col).alias("source"))
     rows = materialize(rows.withColumn("rid", F.monotonically_increasing_id()), "sizes")
     plan = materialize(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), total_share, max_repeats, weights), "plan")
     total = int((plan.agg(F.sum("target")).first()[0] or 0) + 0.5)
@@ -91,11 +103,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     taken_blocks = materialize(schedule(plan, slots, total, block_tokens).select("sid", "block"), "blocks")
 
     rows = rows.join(F.broadcast(plan) if _few(plan) else plan, rows["source"].eqNullSafe(plan["source"])).select(rows["*"], "sid", "source_size", "target")
-    totals = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
-    before = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("sid", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("sid", "bucket").orderBy("place", "doc_id", "size", "crc", "rid").rowsBetween(Window.unboundedPreceding, -1)
-    laid = rows.withColumn("start", F.coalesce(F.sum("size").over(within), F.lit(0))).join(offsets, ["sid", "bucket"]).withColumn("start", F.col("start") + F.col("offset")).drop("offset", "bucket", "place", "crc")
+    totals = rows.groupBy("sid", "_bucket").agg(F.sum("size").alias("n"))
+    before = Window.partitionBy("sid").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("sid", "_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    within = Window.partitionBy("sid", "_bucket").orderBy("_place", "_id", "_crc", "rid").rowsBetween(Window.unboundedPreceding, -1)
+    laid = rows.withColumn("start", F.coalesce(F.sum("size").over(within), F.lit(0))).join(offsets, ["sid", "_bucket"]).withColumn("start", F.col("start") + F.col("offset")).drop("offset")
     laid = materialize(laid, "laid")
     b = F.lit(block_tokens)
     spans = laid.where("size > 0").withColumn("start", F.explode(F.transform(F.sequence(F.lit(0), F.lit(max_repeats - 1)), lambda e: F.col("start") + e * F.col("source_size"))))
@@ -103,7 +115,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     spans = spans.where(F.col("start") < F.col("target") * 1.1 + b * 64).withColumn("end", F.col("start") + F.col("size"))
     pieces = spans.select("rid", "sid", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((F.col("end") - 1) / b))).alias("block"))
     got = pieces.join(taken_blocks, ["sid", "block"]).groupBy("rid").agg(F.sum(F.least("end", (F.col("block") + 1) * b) - F.greatest("start", F.col("block") * b)).alias("taken"))
-    return laid.join(got, "rid", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
+    return laid.join(got, "rid", "left").select(*ORDER, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", total_share: float = 1.0, max_repeats: int = 3, weights: tuple[float, ...] = (5, 2, 1), slots: int = 1 << 18, seed: str = "mix") -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes their words, ``taken / size`` rounded, with their own columns.
+
+    Along a source's order the number only falls, by one: two numbers and the last row of the higher one settle it for every
+    row where that row lies, so no text is moved. A row without words appears as often as its neighbours in that order.
+    """
+    rows = _mixed(docs, id_col, text_col, source_col, total_share, max_repeats, weights, slots, seed).where("size > 0")
+    rows = rows.withColumn("copies", F.round(F.col("taken") / F.col("size")).cast("int"))
+    by_copies = rows.groupBy("source", "copies").agg(F.max(F.struct(*ORDER)).alias("last"))
+    settled = by_copies.groupBy("source").agg(F.max(F.struct("copies", "last")).alias("high"), F.min("copies").alias("low"))
+    settled = materialize(settled.select(F.col("source").alias("_source"), "high", "low"), "copies")
+    packed = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(source_col).alias("_own"))
+    placed = _placed(packed, "i", "t", seed)
+    found = placed.join(F.broadcast(settled) if _few(settled) else settled, placed["_own"].eqNullSafe(settled["_source"]))
+    copies = F.when(F.struct(*ORDER) <= F.col("high.last"), F.col("high.copies")).otherwise(F.col("low"))
+    return found.withColumn("_n", copies).where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*")
 
 
 def _few(plan: DataFrame, most: int = 100_000) -> bool:
