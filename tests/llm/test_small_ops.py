@@ -11,7 +11,7 @@ import xxhash
 
 from ribospark.llm import warc
 from ribospark.llm.exact_dedup import CountingQuotientFilter, exact_dedup
-from ribospark.llm.mixing import mix
+from ribospark.llm.mixing import mix, mixed_documents
 from ribospark.llm.sharding import even_tree, shard_documents
 from ribospark.llm.url_filter import LEXICON, Segmenter, filter_urls
 
@@ -151,6 +151,22 @@ def test_mix_of_nothing(spark):
     assert [(r.target, r.taken) for r in mix(docs(spark, [(1, None), (2, " ")])).collect()] == [(0.0, 0)] * 2
 
 
+def test_mixed_documents_follow_the_mix(spark):
+    rows = ODD + [(i, " ".join(["w"] * (1 + i % 50))) for i in range(100, 500)] + [(150, "other words")]
+    df = docs(spark, rows, lambda k: None if k % 7 == 6 else f"é{k % 4}").withColumnRenamed("size", "_id").withColumnRenamed("bucket", "_bucket")
+    got = mixed_documents(df)
+    assert got.columns == df.columns
+    counts = Counter(map(tuple, got.collect()))
+    assert set(counts) <= set(map(tuple, df.collect()))
+    want = {(r.doc_id, r["size"]): round(r.taken / r["size"] + 1e-9) for r in mix(df).collect() if r["size"] and r.doc_id is not None and r.doc_id >= 100}
+    seen = Counter()
+    for r, n in counts.items():
+        if r[0] is not None and r[0] >= 100:
+            seen[(r[0], len(r[1].split()))] += n
+    assert {k: n for k, n in want.items() if n} == {k: n for k, n in seen.items() if n}
+    assert mixed_documents(df.limit(0)).collect() == []
+
+
 PAGES = [
     (1, "http://a.test/x", "<p>same</p>"), (2, None, "<p>same</p>"), (9, "http://b.test", "<p>same</p>"), (3, "u\nrl", None), (4, "u", ""), (5, "é", "é" * 300_000),
     (6, "u", "WARC/1.1\r\nContent-Length: 3\r\n\r\n\x1f\x8b\x08"), (7, "u", "a\r\n\r\nb"), (9, "http://b.test", "<p>same</p>"), (None, "u", "<p>same</p>"), (None, "u", "only"),
