@@ -12,9 +12,10 @@ import sys
 import tempfile
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Functions of this package travel to the executors by value: they need no install there.
@@ -26,6 +27,11 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 _roots: dict[str, str] = {}
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(x)`` with x bound to ``value``, computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def workspace(spark: SparkSession) -> str:
     """A folder of this application under ``spark.checkpoint.dir``; a temporary one where that is unset."""
     app = spark.sparkContext.applicationId

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import let, materialize
 
 MARK, NUM, NAME, UNIT = "\u0001", "\u0002", "\u0003", "\u0004"
 SPACES = "[ \\t\\n\\x0B\\f\\r]"
@@ -31,34 +31,42 @@ def marked(text: Column) -> Column:
 
 def canonical(plain: Column) -> Column:
     """Placeholders for the tokens of a marked text, the rest lower-cased. Most texts have no numbers or names: they skip those passes."""
-    plain = F.when(F.contains(plain, F.lit(MARK)), F.regexp_replace(plain, f"{MARK}[^ ]+", NAME)).otherwise(plain)
 
     def numbered(x: Column) -> Column:
         x = F.regexp_replace(x, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", NUM)
         return F.regexp_replace(F.lower(x), f"{NUM} ({UNITS})( |$)", f"{NUM} {UNIT}$2")
 
-    return F.when(plain.rlike("[0-9]"), numbered(plain)).otherwise(F.lower(plain))
+    named = F.when(F.contains(plain, F.lit(MARK)), F.regexp_replace(plain, f"{MARK}[^ ]+", NAME)).otherwise(plain)
+    return let(named, lambda x: F.when(x.rlike("[0-9]"), numbered(x)).otherwise(F.lower(x)))
 
 
 def windows(rows: DataFrame, key: list[str], width: int) -> DataFrame:
     """``key, pos, h, slots, n``: each window of ``width`` canonical words of ``text`` (a shorter text is one window) by hash,
-    with the raw words of a window that has placeholders, and the text's number of windows."""
-    rows = rows.select(*key, marked(F.coalesce("text", F.lit(""))).alias("plain"))
-    rows = rows.select(*key, "plain", canonical(F.col("plain")).alias("canon")).where("canon <> ''")
-    rows = rows.select(*key, F.split("canon", " ").alias("w"), F.when(F.col("canon").rlike(f"[{NUM}{NAME}{UNIT}]"), F.split("plain", " ")).alias("raw"))
-    rows = rows.withColumn("n", F.greatest(F.size("w") - width + 1, F.lit(1)))
-    rows = rows.withColumn("wh", F.transform("w", lambda x: F.xxhash64(x)))
-
-    def window(i: Column) -> Column:
-        words, raw = F.slice("w", i + 1, width), F.slice("raw", i + 1, width)
-        held = F.exists(words, lambda x: x.isin(NUM, NAME, UNIT))
-        values = F.zip_with(words, raw, lambda c, r: F.when(c.isin(NUM, NAME, UNIT), F.lower(r)))
-        # Values are taken here, not after the explode: a row must not drag its text's arrays along.
-        slots = F.when(F.col("raw").isNotNull(), F.when(held, values))
-        return F.struct(F.xxhash64(*[F.get("wh", i + j) for j in range(width)]).alias("h"), slots.alias("slots"))
-
-    rows = rows.select(*key, "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), window)).alias("pos", "x"))
-    return rows.select(*key, "n", "pos", "x.h", "x.slots")
+    with the raw words of a window that has placeholders, and the text's number of windows.
+
+    One expression, each step bound once: projections would be merged, and a filter pushed down, so that steps ran again.
+    """
+
+    def of_words(w: Column, raw: Column, hashes: Column) -> Column:
+        last = F.greatest(F.size(w) - width, F.lit(0))
+
+        def window(i: Column) -> Column:
+            words = F.slice(w, i + 1, width)
+            values = F.zip_with(words, F.slice(raw, i + 1, width), lambda c, r: F.when(c.isin(NUM, NAME, UNIT), F.lower(r)))
+            slots = F.when(raw.isNotNull(), F.when(F.exists(words, lambda x: x.isin(NUM, NAME, UNIT)), values))
+            return F.struct(F.xxhash64(*[F.get(hashes, i + j) for j in range(width)]).alias("h"), slots.alias("slots"), (last + 1).alias("n"))
+
+        return F.transform(F.sequence(F.lit(0), last), window)
+
+    def of_text(plain: Column) -> Column:
+        def cut(canon: Column) -> Column:
+            raw = F.when(canon.rlike(f"[{NUM}{NAME}{UNIT}]"), F.split(plain, " "))
+            return let(F.split(canon, " "), lambda w: let(raw, lambda r: let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: of_words(w, r, h))))
+
+        return let(canonical(plain), lambda canon: F.when(canon != "", cut(canon)))
+
+    found = let(marked(F.coalesce("text", F.lit(""))), of_text)
+    return rows.select(*key, F.posexplode(found).alias("pos", "x")).select(*key, "pos", "x.h", "x.slots", "x.n")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
