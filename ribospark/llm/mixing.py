@@ -4,7 +4,8 @@ Slot t of the mix has the point frac(t * golden ratio); the sources' cumulative
 shares cut [0, 1) into intervals, and the interval a point falls in names the slot's
 source. Slots are ranked per source, and rank k takes block k of the source's documents
 in shuffled order, laid end to end (and again, up to ``max_repeats`` times) and cut into
-blocks of equal token counts.
+blocks of equal token counts. Each source has as many slots as its target has blocks: those
+the points leave out are added, those beyond are left, and the last block is cut at the target.
 """
 
 from __future__ import annotations
@@ -68,6 +69,14 @@ def schedule(plan: DataFrame, slots: int, total: int, block_tokens: int) -> Data
     return hits.withColumn("at", rank).join(offsets, ["sid", "chunk"]).select("sid", "t", (F.col("offset") + F.col("at")).alias("block"))
 
 
+def _quotas(slots: DataFrame, quotas: DataFrame) -> DataFrame:
+    """``sid, block``: the blocks below each source's ``quota``, whether the points gave it too few slots or too many."""
+    given = slots.groupBy("sid").agg(F.count("*").alias("given"))
+    owed = quotas.join(given, "sid", "left").withColumn("given", F.coalesce("given", F.lit(0))).where("given < quota")
+    owed = owed.select("sid", F.explode(F.sequence("given", F.col("quota") - 1)).alias("block"))
+    return slots.join(F.broadcast(quotas) if _few(quotas) else quotas, "sid").where("block < quota").select("sid", "block").union(owed)
+
+
 def _placed(docs: DataFrame, id_col: str, text_col: str, seed: str) -> DataFrame:
     """``docs`` with ``_id, _crc, _place, _bucket``: what fixes the order of a row within its source, but for equal texts under one id."""
     docs = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_crc", F.crc32(F.coalesce(F.encode(F.col(text_col), "UTF-8"), F.lit(b""))))
@@ -83,8 +92,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     ``size`` counts the words of the text (null: 0). ``taken`` is the number of words the mix
     takes from the row, repeats counted, at most ``max_repeats`` times its size. There are
-    about ``slots`` blocks in all, whatever the input, so a source comes within a few blocks
-    of its target. A null source is a source of its own, last in order. Sources without words
+    about ``slots`` blocks in all, whatever the input; each source gets its target, rounded to
+    words, however small it is beside a block. A null source is a source of its own, last in order. Sources without words
     get target 0. Order within a source is by a hash of the id, so reruns agree; rows repeated
     under one id are ordered by text checksum. An empty table gives an empty result.
     """
@@ -100,19 +109,19 @@ def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, total_s
     plan = materialize(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), total_share, max_repeats, weights), "plan")
     total = int((plan.agg(F.sum("target")).first()[0] or 0) + 0.5)
     block_tokens = max(1, -(-total // slots))
-    taken_blocks = materialize(schedule(plan, slots, total, block_tokens).select("sid", "block"), "blocks")
+    b = F.lit(block_tokens)
+    plan = plan.withColumn("words", F.round("target").cast("long"))
+    taken_blocks = materialize(_quotas(schedule(plan, slots, total, block_tokens), plan.select("sid", F.ceil(F.col("words") / b).alias("quota"))), "blocks")
 
-    rows = rows.join(F.broadcast(plan) if _few(plan) else plan, rows["source"].eqNullSafe(plan["source"])).select(rows["*"], "sid", "source_size", "target")
+    rows = rows.join(F.broadcast(plan) if _few(plan) else plan, rows["source"].eqNullSafe(plan["source"])).select(rows["*"], "sid", "source_size", "target", "words")
     totals = rows.groupBy("sid", "_bucket").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("sid").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("sid", "_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     within = Window.partitionBy("sid", "_bucket").orderBy("_place", "_id", "_crc", "rid").rowsBetween(Window.unboundedPreceding, -1)
     laid = rows.withColumn("start", F.coalesce(F.sum("size").over(within), F.lit(0))).join(offsets, ["sid", "_bucket"]).withColumn("start", F.col("start") + F.col("offset")).drop("offset")
     laid = materialize(laid, "laid")
-    b = F.lit(block_tokens)
     spans = laid.where("size > 0").withColumn("start", F.explode(F.transform(F.sequence(F.lit(0), F.lit(max_repeats - 1)), lambda e: F.col("start") + e * F.col("source_size"))))
-    # Blocks past the target's by a tenth and a few more are never scheduled: their spans need no join.
-    spans = spans.where(F.col("start") < F.col("target") * 1.1 + b * 64).withColumn("end", F.col("start") + F.col("size"))
+    spans = spans.where("start < words").withColumn("end", F.least(F.col("start") + F.col("size"), "words"))
     pieces = spans.select("rid", "sid", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((F.col("end") - 1) / b))).alias("block"))
     got = pieces.join(taken_blocks, ["sid", "block"]).groupBy("rid").agg(F.sum(F.least("end", (F.col("block") + 1) * b) - F.greatest("start", F.col("block") * b)).alias("taken"))
     return laid.join(got, "rid", "left").select(*ORDER, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")

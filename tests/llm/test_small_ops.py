@@ -146,6 +146,19 @@ def test_mix_comes_near_its_targets(spark, hot):
     assert sorted(map(key, got)) == sorted(map(key, again))
 
 
+@pytest.mark.parametrize("slots", [4, 64, 1 << 18])
+def test_small_sources_get_their_targets_beside_a_large_total(spark, slots):
+    rows = [(i, " ".join(["w"] * 500)) for i in range(400)] + [(1000 + i, " ".join(["w"] * (1 + i % 4))) for i in range(60)]
+    df = docs(spark, rows, lambda k: "big" if k < 400 else f"small{k // 3}")
+    taken, target = Counter(), {}
+    for r in mix(df, slots=slots).collect():
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert len(target) == 22 and all(target[s] > 0 and abs(taken[s] - target[s]) <= 0.5 for s in target), (taken, target)
+    kept = Counter(r.source for r in mixed_documents(df, slots=slots).collect())
+    assert kept.keys() == target.keys()
+
+
 def test_mix_of_nothing(spark):
     assert mix(docs(spark, [])).collect() == []
     assert [(r.target, r.taken) for r in mix(docs(spark, [(1, None), (2, " ")])).collect()] == [(0.0, 0)] * 2
