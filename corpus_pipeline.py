@@ -27,9 +27,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least id. Of rows repeated under one id with one text, one stays;
-    documents without words or without id link with nothing and stay."""
-    found = materialize(jaccard_components(docs), "components")
+    """Of each group of documents linked by five-word shingles at 0.8 (op3's contract has other bounds) the one with the least id.
+    Of rows repeated under one id with one text, one stays; documents without words or without id link with nothing and stay."""
+    found = materialize(jaccard_components(docs, k=5, num=80, den=100), "components")
     dropped = materialize(found.where("component_id <> doc_id").select("doc_id").distinct(), "dropped")
     again = materialize(found.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "again")
     kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)

@@ -66,6 +66,22 @@ def test_repeated_rows_in_the_near_duplicate_stage(spark):
     assert got == Counter([1, 3, None, 4])
 
 
+def test_near_duplicates_by_five_words_and_four_fifths(spark):
+    import random
+
+    from test_text_ops import shingles, union_find
+
+    rng, rows = random.Random(5), []
+    for i in range(40):
+        words = [f"w{rng.randint(0, 5000)}" for _ in range(30)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[: 30 - i % 8]))]
+    sets = {i: shingles(t, 5) for i, t in rows}
+    edges = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert any(100 * len((a := shingles(rows[x][1], 4)) & (b := shingles(rows[y][1], 4))) < 85 * len(a | b) for x, y in edges)
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in p.near_duplicates(spark, df, SF).collect()} == set(union_find(list(sets), edges).values())
+
+
 def test_entry_lists_all_operators():
     entry = importlib.import_module("__spark_entry__")
     names = {n.split("_")[0] for n in entry.queries()}
