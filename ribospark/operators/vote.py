@@ -9,8 +9,8 @@ from ..functions.taxonomy import lineage_prefixes, split_lineage
 
 
 def _lineages(votes: DataFrame, genera: DataFrame) -> DataFrame:
-    """``seq_no, genus, cnt, first_bs``: votes folded by genus before names are joined on."""
-    folded = votes.groupBy("seq_no", "genus_idx").agg(F.count("*").alias("cnt"), F.min("bs").alias("first_bs"))
+    """``seq_no, genus, cnt, first_bs``: votes folded by genus, unless they already are, before names are joined on."""
+    folded = votes if "cnt" in votes.columns else votes.groupBy("seq_no", "genus_idx").agg(F.count("*").alias("cnt"), F.min("bs").alias("first_bs"))
     return folded.join(genera.select("genus_idx", "genus"), "genus_idx")
 
 

@@ -8,9 +8,13 @@ k-mers) unless its name says otherwise.
 
 from __future__ import annotations
 
+import gzip
+import io
+import json
 from collections.abc import Callable
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +23,8 @@ from ..functions import taxonomy as T
 from ..operators import curate, sample, score, summary, vote
 from ..operators import train as tr
 from ..operators.encode import encode_labels, label_dictionary
-from ..sources import external, fasta
+from ..sources import external, fasta, model_store
+from ..workspace import fresh_path, materialize
 from .classify import classify_sequences, make_classifier
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -83,14 +88,17 @@ def kmer_strings(spark, sf):
 
 
 def kmer_distinct(spark, sf):
-    rows = tr.tokenise(sequences(spark, sf), SIZE, native=True)
+    rows = tokens(spark, sf)
     return rows.select("seq_no", F.size("kmers").cast("long").alias("n"), md5_list(F.col("kmers")).alias("kmers_md5"))
 
 
-def kmer_case_sensitive(spark, sf):
+def _mixed_case(spark, sf):
     mixed = F.translate(F.regexp_replace("text", "[^a-zA-Z]", ""), LETTERS + LETTERS.upper(), STAND_FOR + STAND_FOR.lower())
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("seq_no"), mixed.alias("sequence"))
-    rows = tr.tokenise(docs, SIZE, fold_case=False)
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("seq_no"), lineage().alias("id"), mixed.alias("sequence"))
+
+
+def kmer_case_sensitive(spark, sf):
+    rows = tr.tokenise(_mixed_case(spark, sf), SIZE, fold_case=False)
     return rows.select("seq_no", F.size("kmers").cast("long").alias("n"), md5_list(F.col("kmers")).alias("kmers_md5"))
 
 
@@ -147,17 +155,18 @@ def bootstrap_draws_batch(spark, sf):
     return _draws(spark, sf, True)
 
 
-def _votes(spark, sf, plan="auto"):
+def _votes(spark, sf, most_cells=score.MOST_CELLS):
     m = model(spark, sf)
-    return score.classify_bootstraps(tokens(spark, sf), m, BOOTS, 8, SEED, plan=plan), m
+    return score.classify_bootstraps(tokens(spark, sf), m, BOOTS, 8, SEED, most_cells=most_cells), m
 
 
 def classify_bootstrap_votes(spark, sf):
     return _votes(spark, sf)[0]
 
 
-def classify_votes_joined(spark, sf):
-    return _votes(spark, sf, "joined")[0]
+def classify_votes_blocks(spark, sf):
+    """The same with the model in several blocks of genera."""
+    return _votes(spark, sf, 5000)[0]
 
 
 def _shown(taxonomy: Column) -> Column:
@@ -196,6 +205,103 @@ def classify_k8(spark, sf):
     return summary.summarize_predictions(classify_sequences(s, make_classifier(s)))
 
 
+def _classified(rows, m):
+    return classify_sequences(rows, m, min_confidence=8, num_bs=BOOTS, seed=SEED, keep_sequence=True)
+
+
+def classify_without_seq_no(spark, sf):
+    """Rows that were shuffled and have no number of their own."""
+    rows = sequences(spark, sf).select("id", "sequence").repartition(16).dropDuplicates(["id", "sequence"])
+    return _classified(rows, model(spark, sf)).select("id", F.md5("sequence").alias("sequence_md5"), "classification")
+
+
+def fasta_file_classify(spark, sf):
+    """A FASTA file written, and read in small and in large splits."""
+    path, conf, out = fresh_path(spark, "fasta"), "spark.sql.files.maxPartitionBytes", []
+    fasta.write_fasta(sequences(spark, sf), path)
+    m, was = model(spark, sf), spark.conf.get(conf)
+    for reading, split in (("small", "20000"), ("large", "128m")):
+        spark.conf.set(conf, split)
+        try:
+            out.append(materialize(_classified(fasta.read_taxa_fasta(spark, path), m).select(F.lit(reading).alias("reading"), "id", F.md5("sequence").alias("sequence_md5"), "classification"), "classified"))
+        finally:
+            spark.conf.set(conf, was)
+    return out[0].union(out[1])
+
+
+def _put(spark, path, data):
+    """Bytes as a file where Hadoop finds it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
+    stream.write(bytearray(data))
+    stream.close()
+
+
+def fasta_gzip_by_content(spark, sf):
+    """Files of both kinds, the compressed ones known by their first bytes; the text is made of the 25 nations."""
+    folder = fresh_path(spark, "fasta")
+    for r in table(spark, sf, "nation").collect():
+        text = f">x\tEukaryota;{r.n_name}\r\nACGU\n{'ac' * r.n_nationkey}\n>second {r.n_name}\nGG\n".encode()
+        _put(spark, f"{folder}/{r.n_nationkey}.fa", text if r.n_nationkey % 3 else gzip.compress(text))
+    kinds = spark.createDataFrame([(f.rpartition("/")[2], fasta.is_gzip(spark, f)) for f in fasta.list_files(spark, folder)], "file string, zipped boolean")
+    counted = kinds.groupBy().agg(F.count_if("zipped").alias("zipped"))
+    return fasta.read_taxa_fasta(spark, folder).select("id", "sequence").crossJoin(F.broadcast(counted))  # one row
+
+
+def fasta_sink(spark, sf):
+    path = fresh_path(spark, "fasta")
+    fasta.write_fasta(sequences(spark, sf), path)
+    return spark.read.text(path).groupBy("value").agg(F.count("*").alias("n")).select(F.md5("value").alias("line_md5"), "n")
+
+
+def table_files(spark, sf):
+    """Sequences written as CSV and read by name, by sniffing, and as a training set made of a FASTA file."""
+    s = sequences(spark, sf).select("id", "sequence").where("sequence <> ''")
+    folder = fresh_path(spark, "tables")
+    fasta.write_csv(s, f"{folder}/a.csv")
+    s.write.csv(f"{folder}/b", header=True, sep="\t")
+    fasta.write_fasta(s.withColumn("seq_no", F.lit(0)), f"{folder}/c")
+    reads = [fasta.read_table(spark, f"{folder}/a.csv"), fasta.read_table(spark, f"{folder}/b"), fasta.write_training_set(spark, f"{folder}/c", f"{folder}/d"), fasta.write_training_set(spark, f"{folder}/c", f"{folder}/e", "parquet")]
+    rows = [x.select(F.lit(i).alias("reading"), "id", F.md5("sequence").alias("sequence_md5")) for i, x in enumerate(reads)]
+    return rows[0].union(rows[1]).union(rows[2]).union(rows[3])
+
+
+def tax_file(spark, sf):
+    path = fresh_path(spark, "tax")
+    _places(spark, sf).select(F.concat("n_name", F.lit("\tBacteria;"), "r_name", F.lit(";c;o;f;"), "n_name", F.lit(";"))).write.text(path)
+    return fasta.read_tax(spark, path).select("id", "taxonomy", "Kingdom", "Phylum", "Genus")
+
+
+def model_from_config(spark, sf):
+    """A model saved, and loaded by the name that a JSON configuration gives."""
+    folder = fresh_path(spark, "models")
+    model_store.save_model(model(spark, sf), f"{folder}/m", "gzip")
+    _put(spark, f"{folder}/config.json", json.dumps({"db_name": "x", "model_dir": folder, "model": "m"}).encode())
+    return score.classify_tokens(tokens(spark, sf), model_store.load_db(spark, f"{folder}/config.json"))
+
+
+def model_dense_import(spark, sf):
+    """A float16 matrix of words of 3 and 5 genera, with values that float16 holds exactly."""
+    folder = fresh_path(spark, "models")
+    words, genera = np.arange(64)[:, None], np.arange(5)[None, :]
+    _put(spark, f"{folder}/matrix", (-(words * (genera + 3) % 13) / 4).astype("<f2").tobytes())
+    names = io.BytesIO()
+    np.save(names, np.array([f"g{i}" for i in range(5)]))
+    _put(spark, f"{folder}/names.npy", names.getvalue())
+    m = model_store.load_db(spark, {"model": "matrix", "genera": "names.npy", "model_dir": folder, "model_shape": [64, 5]})
+    return score.classify_tokens(tokens(spark, sf, 3), m, most_cells=128).join(m.genera.select("genus_idx", "genus"), "genus_idx")
+
+
+def train_case_sensitive(spark, sf):
+    return make_classifier(_mixed_case(spark, sf), SIZE, fold_case=False).cells.select("kmer", "genus_idx", "cnt")
+
+
+def base4_index(spark, sf):
+    """Words as strings turned into indices, those with other letters dropped."""
+    words = K.base4_list(K.all_kmers(F.substring("sequence", 1, 200), 4))
+    return sequences(spark, sf).select("seq_no", md5_list(K.base4_to_index(words)).alias("indices_md5"))
+
+
 def mode_percent(spark, sf):
     return vote.mode_percent(sequences(spark, sf).withColumn("phylum", F.get(F.split("id", ";"), F.lit(1))), ["phylum"], "id")
 
@@ -271,7 +377,8 @@ def incertae_fill(spark, sf):
 _NAMES = (
     fasta_roundtrip, header_ids, base4_encode, kmer_positions, kmer_strings, kmer_distinct, kmer_case_sensitive, padded_tokens, base10_base4_nucleotide,
     genus_dictionary, genus_sizes, genus_kmer_counts, word_priors, word_priors_dense, conditional_log_prob, classify_all_tokens, bootstrap_draws,
-    bootstrap_draws_batch, classify_bootstrap_votes, classify_votes_joined, consensus_by_rank, consensus_cumulative, filter_pad_format, classification_summary,
+    bootstrap_draws_batch, classify_bootstrap_votes, classify_votes_blocks, classify_without_seq_no, fasta_file_classify, fasta_gzip_by_content, fasta_sink, table_files, tax_file,
+    model_from_config, model_dense_import, train_case_sensitive, base4_index, consensus_by_rank, consensus_cumulative, filter_pad_format, classification_summary,
     train_k8, classify_k8, mode_percent, fix_taxonomy, fix_qiime_taxa, tax_table, filter_train_set, down_sample, holdout_accuracy, prevalence, union_reference_sets,
     json_records, map_keys_int, sort_by_indices, incertae_fill,
 )
@@ -292,8 +399,11 @@ def _windows(k: int, source: str = "seqs", digits: str = "translate(regexp_repla
     return f"""{name} AS (SELECT seq_no, {value} AS kmer FROM (SELECT seq_no, substr(d, i, {k}) AS word FROM (SELECT seq_no, d, CAST(unnest(range(1, length(d) - {k - 2})) AS INTEGER) AS i FROM (SELECT seq_no, {digits} AS d FROM {source})) WHERE NOT contains(substr(d, i, {k}), 'N')))"""
 
 
-def _model(k: int, trained: str = "seqs") -> str:
-    return f"""{_windows(k)}, toks AS (SELECT DISTINCT seq_no, kmer FROM windows),
+_CASE_SENSITIVE = "translate(regexp_replace(sequence, '[^ACGT]', 'N', 'g'), 'ACGT', '0123')"
+
+
+def _model(k: int, trained: str = "seqs", windows: str = "") -> str:
+    return f"""{windows or _windows(k)}, toks AS (SELECT DISTINCT seq_no, kmer FROM windows),
 genera AS (SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER) AS genus_idx, id AS genus, count(*) AS n_seqs FROM {trained} GROUP BY id),
 counts AS (SELECT kmer, genus_idx, count(*) AS cnt FROM toks JOIN {trained} USING (seq_no) JOIN genera ON genus = id GROUP BY kmer, genus_idx),
 priors AS (SELECT kmer, CAST(sum(cnt) AS BIGINT) AS cnt, (sum(cnt) + 0.5::DOUBLE) / ((SELECT count(*) FROM {trained}) + 1) AS prior FROM counts GROUP BY kmer),
@@ -303,22 +413,64 @@ dense AS (SELECT p.kmer, g.genus_idx, ln((coalesce(c.cnt, 0) + prior) / (n_seqs
 _LISTS = "lists AS (SELECT seq_no, list_sort(list(kmer)) AS kmers FROM toks GROUP BY seq_no)"
 
 
-def _drawn(size: str) -> str:
-    return f"""{_LISTS}, drawn AS (SELECT seq_no, bs, draw, kmers[1 + CAST(('0x' || substr(sha256('{SEED}:' || seq_no || ':' || bs || ':' || draw // 8), 1 + 8 * (draw % 8), 8))::UBIGINT % len(kmers) AS INTEGER)] AS kmer
-  FROM (SELECT *, unnest(range({size} // 8)) AS draw FROM (SELECT *, unnest(range({BOOTS})) AS bs FROM lists)))"""
+def _mixed_sql(source: str, c: str) -> str:
+    """``source`` with column ``c`` scrambled as ``operators.sample`` does."""
+    for factor, shift in zip(sample.FACTORS, sample.SHIFTS, strict=True):
+        source = f"(SELECT * REPLACE (xor(a, a >> {shift}) AS a) FROM (SELECT * EXCLUDE ({c}), ({c} * {factor} + {sample.ADD}) % {sample.PRIME} AS a FROM {source}))"
+        source = f"(SELECT * EXCLUDE (a), a AS {c} FROM {source})"
+    return source
+
+
+def _drawn(size: str, key: str = "seq_no", boots: int = BOOTS, seed: int = SEED) -> str:
+    """Draws of ``lists``: ``drawn(seq_no, bs, draw, kmer)``. ``key`` seeds them."""
+    digests = f"(SELECT seq_no, kmers, md5('{seed}:' || {key}) AS d FROM lists JOIN seqs USING (seq_no))"
+    words = f"(SELECT seq_no, kmers, CAST('0x' || substr(d, 1, 7) AS BIGINT) AS s, CAST('0x' || substr(d, 8, 7) AS BIGINT) AS second, unnest(range({boots})) AS bs FROM {digests})"
+    start = _mixed_sql(f"(SELECT * REPLACE ((s + bs * {sample.BS_STEP}) % {sample.PRIME} AS s) FROM {words})", "s")
+    start = _mixed_sql(f"(SELECT * REPLACE ((s + second) % {sample.PRIME} AS s) FROM {start})", "s")
+    each = _mixed_sql(f"(SELECT * REPLACE ((s + draw * {sample.DRAW_STEP}) % {sample.PRIME} AS s) FROM (SELECT *, unnest(range({size} // 8)) AS draw FROM {start}))", "s")
+    return f"{_LISTS}, drawn AS (SELECT seq_no, bs, draw, kmers[1 + s % len(kmers)] AS kmer FROM {each})"
 
 
 _BEST = "row_number() OVER (PARTITION BY {keys} ORDER BY score DESC, genus_idx) = 1"
-VOTES = f"""{SEQUENCES}, {_model(SIZE)}, {_drawn("len(kmers)")},
-scores AS (SELECT seq_no, bs, genus_idx, round(sum(log_p), 9) AS score FROM drawn JOIN dense USING (kmer) GROUP BY seq_no, bs, genus_idx),
+
+
+def _votes_sql(k: int = SIZE, key: str = "seq_no", boots: int = BOOTS, seed: int = SEED) -> str:
+    """Votes over stored cells: where a genus lacks a word only its size and the word's prior count, and the prior is the same for all."""
+    return f"""{SEQUENCES}, {_model(k)}, {_drawn("len(kmers)", key, boots, seed)},
+times AS (SELECT seq_no, bs, kmer, count(*) AS t FROM drawn GROUP BY ALL),
+hits AS (SELECT seq_no, bs, genus_idx, sum(t * (ln(c.cnt + prior) - ln(prior))) AS gain FROM times JOIN counts c USING (kmer) JOIN priors USING (kmer) GROUP BY seq_no, bs, genus_idx),
+sizes AS (SELECT seq_no, bs, sum(t) AS n FROM times GROUP BY ALL),
+scores AS (SELECT s.seq_no, s.bs, g.genus_idx, round(coalesce(gain, 0) - n * ln(n_seqs + 1.0), 9) AS score FROM sizes s CROSS JOIN genera g LEFT JOIN hits h ON h.seq_no = s.seq_no AND h.bs = s.bs AND h.genus_idx = g.genus_idx),
 votes AS (SELECT seq_no, CAST(bs AS INTEGER) AS bs, genus_idx FROM scores QUALIFY {_BEST.format(keys="seq_no, bs")})"""
-RANKS_VOTED = f"""{VOTES}, named AS (SELECT seq_no, bs, string_split(genus, ';') AS parts FROM votes JOIN genera USING (genus_idx)),
+
+
+VOTES = _votes_sql()
+
+
+def _ranks_sql(votes: str) -> str:
+    return f"""{votes}, named AS (SELECT seq_no, bs, string_split(genus, ';') AS parts FROM votes JOIN genera USING (genus_idx)),
 ranks AS (SELECT seq_no, bs, r, parts[r] AS taxon FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS r FROM named)),
 agreed AS (SELECT seq_no, r, taxon, count(*) AS conf FROM ranks GROUP BY seq_no, r, taxon QUALIFY row_number() OVER (PARTITION BY seq_no, r ORDER BY count(*) DESC, min(bs)) = 1)"""
-FORMATTED = f"""{RANKS_VOTED}, kept AS (SELECT * FROM agreed WHERE conf >= 8 OR (r = 1 AND seq_no NOT IN (SELECT seq_no FROM agreed WHERE conf >= 8))),
+
+
+def _formatted_sql(votes: str, least: int = 8) -> str:
+    return f"""{_ranks_sql(votes)}, kept AS (SELECT * FROM agreed WHERE conf >= {least} OR (r = 1 AND seq_no NOT IN (SELECT seq_no FROM agreed WHERE conf >= {least}))),
 lists6 AS (SELECT seq_no, list(taxon ORDER BY r) AS taxa, list(conf ORDER BY r) AS confs FROM kept GROUP BY seq_no),
 padded AS (SELECT seq_no, list_concat(list_transform(range(len(taxa)), lambda i: taxa[i + 1] || '(' || confs[i + 1] || ')'), list_transform(range(greatest(6 - len(taxa), 0)), lambda i: taxa[-1] || '_unclassified(' || confs[-1] || ')')) AS shown FROM lists6),
 formatted AS (SELECT seq_no, array_to_string(shown, ';') AS classification FROM padded)"""
+
+
+def _classified_sql(k: int = SIZE, boots: int = BOOTS, seed: int = SEED, least: int = 8) -> str:
+    """``whole(seq_no, id, sequence, classification)``: draws seeded by the sequences themselves."""
+    return f"""{_formatted_sql(_votes_sql(k, "md5(sequence)", boots, seed), least)},
+whole AS (SELECT s.seq_no, s.id, s.sequence, coalesce(classification, 'Unclassified(0)' || repeat(';Unclassified_unclassified(0)', 5)) AS classification FROM seqs s LEFT JOIN formatted USING (seq_no))"""
+
+
+def _summary_sql(classified: str) -> str:
+    return f"""WITH {classified}, ranked AS (SELECT seq_no, id, classification, {_RANK_COLUMNS} FROM (SELECT *, string_split(classification, ';') AS p FROM whole))
+SELECT *, concat_ws(';', Kingdom, Phylum, "Class", "Order", Family, Genus) AS observed, concat_ws(';', 'k__' || Kingdom, 'p__' || Phylum, 'c__' || "Class", 'o__' || "Order", 'f__' || Family, 'g__' || Genus) AS lineage FROM ranked""".replace("AS Order", 'AS "Order"').replace("AS Class", 'AS "Class"')
+
+
 _PLACES = "FROM nation JOIN region ON n_regionkey = r_regionkey"
 _RANK_COLUMNS = ", ".join(f"regexp_replace(p[{i + 1}], '\\(\\d+\\)', '', 'g') AS {r}" for i, r in enumerate(T.RANKS[:6]))
 _MIXED = f"translate(regexp_replace(text, '[^a-zA-Z]', '', 'g'), '{LETTERS + LETTERS.upper()}', '{STAND_FOR + STAND_FOR.lower()}')"
@@ -339,7 +491,7 @@ def oracle_sql() -> dict[str, str]:
         "kmer_positions": f"{base}, {_windows(SIZE)} SELECT kmer, count(*) AS n FROM windows GROUP BY kmer",
         "kmer_strings": f"{base} SELECT word, count(*) AS n FROM (SELECT substr(sequence, CAST(i AS INTEGER), 3) AS word FROM (SELECT sequence, unnest(range(1, length(sequence) - 1)) AS i FROM seqs)) GROUP BY word",
         "kmer_distinct": f"{base}, {_windows(SIZE)}, toks AS (SELECT DISTINCT seq_no, kmer FROM windows), {_LISTS} {per_list.format(of='seqs')}",
-        "kmer_case_sensitive": f"WITH mixed AS (SELECT doc_id AS seq_no, {_MIXED} AS sequence FROM documents), {_windows(SIZE, 'mixed', "translate(regexp_replace(sequence, '[^ACGT]', 'N', 'g'), 'ACGT', '0123')")}, toks AS (SELECT DISTINCT seq_no, kmer FROM windows), {_LISTS} {per_list.format(of='mixed')}",
+        "kmer_case_sensitive": f"WITH mixed AS (SELECT doc_id AS seq_no, {_MIXED} AS sequence FROM documents), {_windows(SIZE, 'mixed', _CASE_SENSITIVE)}, toks AS (SELECT DISTINCT seq_no, kmer FROM windows), {_LISTS} {per_list.format(of='mixed')}",
         "padded_tokens": f"{base}, {_windows(SIZE)} SELECT s.seq_no, {4**SIZE}::BIGINT AS n, {4**SIZE} - count(DISTINCT kmer) AS n_pad FROM seqs s LEFT JOIN windows USING (seq_no) GROUP BY s.seq_no",
         "base10_base4_nucleotide": f"{base}, {_windows(SIZE)} SELECT kmer, digits, translate(digits, '0123', 'ACGT') AS bases FROM (SELECT DISTINCT kmer, CAST(kmer // 64 AS VARCHAR) || (kmer // 16 % 4) || (kmer // 4 % 4) || (kmer % 4) AS digits FROM windows)",
         "genus_dictionary": f"{base} SELECT seq_no, CAST(dense_rank() OVER (ORDER BY id) - 1 AS INTEGER) AS genus_idx, id FROM seqs",
@@ -352,17 +504,26 @@ def oracle_sql() -> dict[str, str]:
         "bootstrap_draws": f"{trained}, {_drawn('len(kmers)')} {draws}",
         "bootstrap_draws_batch": f"{trained}, {_drawn('(SELECT max(len(kmers)) FROM lists)')} {draws}",
         "classify_bootstrap_votes": votes,
-        "classify_votes_joined": votes,
-        "consensus_by_rank": f"WITH {RANKS_VOTED} SELECT seq_no, string_agg(taxon || ':' || conf, '|' ORDER BY r) AS consensus FROM agreed GROUP BY seq_no",
+        "classify_votes_blocks": votes,
+        "classify_without_seq_no": f"WITH {_classified_sql()} SELECT DISTINCT id, md5(sequence) AS sequence_md5, classification FROM whole",
+        "fasta_file_classify": f"WITH {_classified_sql()} SELECT unnest(['small', 'large']) AS reading, id, md5(sequence) AS sequence_md5, classification FROM whole",
+        "fasta_gzip_by_content": "WITH n AS (SELECT *, (SELECT count(*) FROM nation WHERE n_nationkey % 3 = 0) AS zipped FROM nation) SELECT 'Eukaryota;' || n_name AS id, 'ACGT' || repeat('ac', n_nationkey) AS sequence, zipped FROM n UNION ALL SELECT 'second ' || n_name, 'GG', zipped FROM n",
+        "fasta_sink": f"{base} SELECT md5(line) AS line_md5, count(*) AS n FROM (SELECT '>' || id AS line FROM seqs UNION ALL SELECT sequence FROM seqs) GROUP BY line",
+        "table_files": f"{base} SELECT CAST(reading AS INTEGER) AS reading, id, md5(sequence) AS sequence_md5 FROM seqs, range(4) t(reading) WHERE sequence <> ''",
+        "tax_file": f"SELECT n_name AS id, 'Bacteria;' || r_name || ';c;o;f;' || n_name AS taxonomy, 'Bacteria' AS Kingdom, r_name AS Phylum, n_name AS Genus {_PLACES}",
+        "model_from_config": f"{trained} SELECT seq_no, genus_idx FROM (SELECT seq_no, genus_idx, round(sum(log_p), 9) AS score FROM toks JOIN dense USING (kmer) GROUP BY seq_no, genus_idx) QUALIFY {_BEST.format(keys='seq_no')}",
+        "model_dense_import": f"{base}, {_windows(3)}, toks AS (SELECT DISTINCT seq_no, kmer FROM windows) SELECT seq_no, CAST(g AS INTEGER) AS genus_idx, 'g' || g AS genus FROM (SELECT seq_no, g, sum(-(kmer * (g + 3) % 13) / 4.0) AS score FROM toks, range(5) t(g) GROUP BY seq_no, g) QUALIFY row_number() OVER (PARTITION BY seq_no ORDER BY score DESC, g) = 1",
+        "train_case_sensitive": f"WITH seqs AS (SELECT doc_id AS seq_no, s.id, {_MIXED} AS sequence FROM documents JOIN (WITH {SEQUENCES} SELECT seq_no AS doc_id, id FROM seqs) s USING (doc_id)), {_model(SIZE, windows=_windows(SIZE, 'seqs', _CASE_SENSITIVE))} SELECT * FROM counts",
+        "base4_index": f"{base}, cut AS (SELECT seq_no, substr(sequence, 1, 200) AS s FROM seqs), w AS (SELECT seq_no, i, substr(s, i, 4) AS word FROM (SELECT *, CAST(unnest(range(1, length(s) - 2)) AS INTEGER) AS i FROM cut)), x AS (SELECT seq_no, string_agg(CAST({' + '.join(f"(strpos('ACGT', substr(word, {j + 1}, 1)) - 1) * {4 ** (3 - j)}" for j in range(4))} AS VARCHAR), ',' ORDER BY i) AS l FROM w WHERE NOT contains(word, 'N') GROUP BY seq_no) SELECT seq_no, md5(coalesce(l, '')) AS indices_md5 FROM seqs LEFT JOIN x USING (seq_no)",
+        "consensus_by_rank": f"WITH {_ranks_sql(VOTES)} SELECT seq_no, string_agg(taxon || ':' || conf, '|' ORDER BY r) AS consensus FROM agreed GROUP BY seq_no",
         "consensus_cumulative": f"""WITH {VOTES}, named AS (SELECT seq_no, string_split(genus, ';') AS parts FROM votes JOIN genera USING (genus_idx)),
             paths AS (SELECT seq_no, r, array_to_string(parts[1:r], ';') AS path FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS r FROM named)),
             best AS (SELECT seq_no, r, path, count(*) AS n FROM paths GROUP BY seq_no, r, path QUALIFY row_number() OVER (PARTITION BY seq_no, r ORDER BY count(*) DESC, path) = 1),
             deep AS (SELECT seq_no, string_split(max_by(path, r), ';') AS parts FROM best GROUP BY seq_no)
             SELECT seq_no, string_agg(parts[r] || ':' || CAST(trunc(n / {BOOTS}::DOUBLE * 100) AS INTEGER), '|' ORDER BY r) AS consensus FROM best JOIN deep USING (seq_no) GROUP BY seq_no""",
-        "filter_pad_format": f"WITH {FORMATTED} SELECT * FROM formatted",
-        "classification_summary": f"""WITH {FORMATTED}, whole AS (SELECT s.seq_no, s.id, coalesce(classification, 'Unclassified(0)' || repeat(';Unclassified_unclassified(0)', 5)) AS classification FROM seqs s LEFT JOIN formatted USING (seq_no)),
-            ranked AS (SELECT seq_no, id, classification, {_RANK_COLUMNS} FROM (SELECT *, string_split(classification, ';') AS p FROM whole))
-            SELECT *, concat_ws(';', Kingdom, Phylum, "Class", "Order", Family, Genus) AS observed, concat_ws(';', 'k__' || Kingdom, 'p__' || Phylum, 'c__' || "Class", 'o__' || "Order", 'f__' || Family, 'g__' || Genus) AS lineage FROM ranked""".replace("AS Order", 'AS "Order"').replace("AS Class", 'AS "Class"'),
+        "filter_pad_format": f"WITH {_formatted_sql(VOTES)} SELECT * FROM formatted",
+        "classification_summary": _summary_sql(_classified_sql()),
+        "classify_k8": _summary_sql(_classified_sql(8, 100, 0, 80)),
         "train_k8": f"{base}, {_model(8)} SELECT * FROM counts",
         "mode_percent": f"{base}, n AS (SELECT string_split(id, ';')[2] AS phylum, id AS label, count(*) AS n FROM seqs GROUP BY ALL) SELECT phylum, label, CAST(trunc(n / (sum(n) OVER (PARTITION BY phylum))::DOUBLE * 100) AS INTEGER) AS percent FROM n QUALIFY row_number() OVER (PARTITION BY phylum ORDER BY n DESC, label) = 1",
         "fix_taxonomy": f"SELECT n_nationkey, r_name || ';' || n_name || repeat(';' || n_name || '_unclassified', 4) AS lineage, r_name || ';' || n_name || repeat(';' || n_name || '_unclassified', 2) AS unsplit {_PLACES}",

@@ -73,14 +73,63 @@ def random_rows(n=60, seed=1):
     return rows
 
 
-def test_joined_dense_and_plain_scores_agree(spark):
+def test_blocks_and_plain_scores_agree(spark):
     rows = random_rows()
     m, tokens = train(table(spark, rows), 4), tokenise(table(spark, [*rows, (99, "q", "TTTTTTTTTTTTTTTTTTTTTTTT")]), 4)
+    most = -(-m.cells.count() // 3)
+    assert len([*score.blocks(m, most)]) >= 3 and len([*score.blocks(m)]) == 1
     for batch in (False, True):
-        a, b = ({(r.seq_no, r.bs): r.genus_idx for r in score.classify_bootstraps(tokens, m, 6, 8, 3, batch, plan=p).collect()} for p in ("joined", "dense"))
+        a, b = ({(r.seq_no, r.bs): r.genus_idx for r in score.classify_bootstraps(tokens, m, 6, 8, 3, batch, most_cells=n).collect()} for n in (most, score.MOST_CELLS))
         assert a == b and len(a) == (61 if batch else 60) * 6
     drawn = sample.bootstraps(tokens, 6, 8, 3).where("seq_no < 4").groupBy("seq_no", "bs").agg(F.collect_list("kmer").alias("w")).collect()
-    assert {(r.seq_no, r.bs): dense_vote(r.w, rows, 4) for r in drawn}.items() <= {(r.seq_no, r.bs): r.genus_idx for r in score.score_joined(tokens, m, 6, 8, 3).collect()}.items()
+    votes = {(r.seq_no, r.bs): r.genus_idx for r in score.classify_bootstraps(tokens, m, 6, 8, 3, most_cells=most).collect()}
+    assert {(r.seq_no, r.bs): dense_vote(r.w, rows, 4) for r in drawn}.items() <= votes.items()
+
+
+def test_narrow_matrices_give_the_same_votes(spark, monkeypatch):
+    m = train(table(spark, random_rows()), 4)
+    block = next(score.blocks(m))
+    kmers = block.words[::2]
+    drawn = sample.draw_positions(1, "x", 50, 30, len(kmers))
+    whole = block.best(kmers, drawn)
+    monkeypatch.setattr(score, "MATRIX", 1)
+    assert all((a == b).all() for a, b in zip(whole, block.best(kmers, drawn), strict=True))
+
+
+def test_draws_are_uniform():
+    import numpy as np
+
+    drawn = sample.draw_positions(0, "a key", 4000, 50, 100)
+    counts = np.bincount(drawn.ravel(), minlength=100)
+    assert ((counts - 2000) ** 2 / 2000).sum() < 150  # 99 degrees of freedom
+    assert abs(np.corrcoef(drawn[:, 0], drawn[:, 1])[0, 1]) < 0.06 and abs(np.corrcoef(drawn[:-1, 0], drawn[1:, 0])[0, 1]) < 0.06
+
+
+def test_folded_and_native_training_agree(spark, monkeypatch):
+    from ribospark.operators import train as tr
+
+    monkeypatch.setattr(tr, "FOLD", 50)
+    rows = table(spark, [*random_rows(), (100, "x", None), (101, "x", "acgtnacgtA")])
+    for fold in (True, False):
+        a, b = (sorted(map(tuple, train(rows, 4, fold, native=n).cells.collect())) for n in (False, True))
+        assert a == b and a
+
+
+@pytest.mark.parametrize("shuffled", [lambda df: df.repartition(16), lambda df: df.dropDuplicates(["id"])])
+def test_rows_without_numbers_keep_their_classification(spark, shuffled):
+    rows = [(f"Bacteria;p{i};g{i}", s) for i, (_, _, s) in enumerate(random_rows(48))]
+    df = spark.createDataFrame(rows, "id string, sequence string")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        got = classify_sequences(shuffled(df), make_classifier(df), n_levels=3, num_bs=20, min_confidence=16, keep_sequence=True)
+        assert got.columns == ["id", "sequence", "classification"]
+        plain = {r.sequence: r.classification for r in classify_sequences(df, make_classifier(df), n_levels=3, num_bs=20, min_confidence=16, keep_sequence=True).collect()}
+        seen = got.collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert len(seen) == 48 and all(r.classification == plain[r.sequence] for r in seen)
+    assert sum(r.classification.startswith(f"{r.id.rpartition(';')[0]}(") or r.id.split(";")[2] in r.classification for r in seen) >= 40
 
 
 def test_bootstraps_do_not_depend_on_partitions(spark):
@@ -156,7 +205,7 @@ def flow(spark):
     return table(spark, [(i, ids[i], s) for i, s in enumerate(seqs)])
 
 
-@pytest.mark.parametrize("how", [{}, {"compat": True}, {"plan": "joined", "num_bs": 20, "min_confidence": 16}, {"cumulative": True}, {"native": True}])
+@pytest.mark.parametrize("how", [{}, {"compat": True}, {"most_cells": 1000, "num_bs": 20, "min_confidence": 16}, {"cumulative": True}, {"native": True}])
 def test_self_classification(spark, how):
     df = flow(spark)
     got = summary.summarize_predictions(classify_sequences(df, make_classifier(df), **how)).orderBy("seq_no").collect()

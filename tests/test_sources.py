@@ -32,14 +32,14 @@ def rows(df):
 WANT = [("Bacteria;Firmicutes;Bacilli", "ACGTacgtTT"), ("Archaea;x;y", "AC GT"), ("uncultured Bacteria", ""), ("plain id", "TTNN")]
 
 
-@pytest.mark.parametrize("kind", ["plain", "gz", "crlf"])
+@pytest.mark.parametrize("kind", ["plain", "gz", "crlf", "hidden gz"])
 def test_read_fasta(spark, tmp_path, kind):
     path = tmp_path / ("x.fa.gz" if kind == "gz" else "x.fa")
     text = RECORDS.replace("\n", "\r\n") if kind == "crlf" else RECORDS
-    path.write_bytes(gzip.compress(text.encode()) if kind == "gz" else text.encode())
+    path.write_bytes(gzip.compress(text.encode()) if "gz" in kind else text.encode())
     got = rows(fasta.read_taxa_fasta(spark, str(path)))
     assert got == WANT
-    assert fasta.is_gzip(spark, str(path)) == (kind == "gz")
+    assert fasta.is_gzip(spark, str(path)) == ("gz" in kind)
 
 
 def test_compat_turns_u_into_t_in_the_last_record_only(spark, tmp_path):
@@ -52,6 +52,17 @@ def test_a_file_without_header_raises(spark, tmp_path):
         (tmp_path / f"{i}.fa").write_text(text)
         with pytest.raises(ValueError, match="FASTA header"):
             fasta.read_taxa_fasta(spark, str(tmp_path / f"{i}.fa"))
+    (tmp_path / "good.fa").write_text(RECORDS)
+    (tmp_path / "3.fa").write_bytes(gzip.compress(b"junk line\n>x\nAC\n"))
+    for path in ("", "/*.fa", "/3.fa", "/no.fa"):
+        with pytest.raises(ValueError, match="FASTA header"):
+            fasta.read_taxa_fasta(spark, f"{tmp_path}{path}")
+
+
+def test_compressed_members_and_records_across_chunks(spark, tmp_path):
+    texts = ["".join(f">id{i}\n{'ACGT' * (i % 90)}\n" for i in range(a, a + 9000)) for a in (0, 9000)]
+    (tmp_path / "x.fa").write_bytes(b"".join(gzip.compress(t.encode()) for t in texts))
+    assert rows(fasta.read_taxa_fasta(spark, str(tmp_path))) == [(f"id{i}", "ACGT" * (i % 90)) for i in range(9000)] + [(f"id{i}", "ACGT" * (i % 90)) for i in range(9000, 18000)]
 
 
 def test_many_records_keep_their_order_over_splits(spark, tmp_path):
@@ -99,6 +110,30 @@ def test_model_round_trip(spark, tmp_path):
             missing()
 
 
+def test_configurations_are_checked(spark, tmp_path):
+    import numpy as np
+
+    m = train(spark.createDataFrame([("A;b", "ACGTACGT"), ("A;c", "GGGGACGT")], "id string, sequence string"), 3)
+    model_store.save_model(m, str(tmp_path / "m"))
+    for bad in ({"model": "m"}, {"model_dir": str(tmp_path)}, {"model": "x", "genera": "y", "model_dir": str(tmp_path)}):
+        with pytest.raises(ValueError, match="lacks"):
+            model_store.load_db(spark, bad)
+    assert model_store.load_db(spark, {"model": "m"}, model_dir=str(tmp_path)).n_seqs == 2
+    (tmp_path / "raw").write_bytes(np.zeros((16, 2), "<f2").tobytes())
+    np.save(tmp_path / "names.npy", np.array(["a", "b"]))
+    np.save(tmp_path / "objects.npy", np.array(["a", None], dtype=object))
+    config = {"model": "raw", "genera": "names.npy", "model_dir": str(tmp_path), "model_shape": [16, 2]}
+    dense = model_store.load_db(spark, config)
+    assert dense.kmer_size == 2 and dense.cells.count() == 32
+    model_store.save_model(dense, str(tmp_path / "d"))
+    assert model_store.load_model(spark, str(tmp_path / "d")).all_cells
+    for change in ({"model_shape": [16, 3]}, {"model_shape": [15, 2]}, {"genera": "objects.npy"}):
+        with pytest.raises(ValueError):
+            model_store.load_db(spark, config | change)
+    with pytest.raises(FileNotFoundError):
+        model_store.load_db(spark, config | {"genera": "no.npy"})
+
+
 def test_curation(spark):
     ids = ["Bacteria;Incertae Sedis", "Bacteria;Candidatus", "Eukaryota;worm", "Prokaryota;Shewanella", "A;b", "A;b;c", None]
     got = curate.filter_train_set(spark.createDataFrame([(i,) for i in ids], "id string"))
