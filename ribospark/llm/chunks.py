@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize
+from .common import pieces, written
 
 CHUNK_DOCS = (1 << 16) - 1
 #: Stands for a null id: after every other.
@@ -54,7 +54,7 @@ def _chunks(batches, most: int):
             "source": [np.array(source, np.int32).tobytes()], "body": [zstandard.compress(b"".join(own), 3)],
         })
 
-    for batch in batches:
+    for batch in pieces(batches):
         for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             data = (x or "").encode()
             if ids and (held + len(data) > most or len(ids) >= CHUNK_DOCS):
@@ -76,9 +76,8 @@ def hash_ranges(spark: SparkSession) -> int:
 def chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Written rows ``base, ids, sizes, source, body``: a chunk's ids in order, its text sizes, the place of the
     copy that stands for each text, and the distinct texts compressed. Null ids are ``LAST``, null texts empty."""
-    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return materialize(texts.mapInArrow(_packed(chunk_bytes(docs.sparkSession)), CHUNK), "chunks")
+    return written(texts.mapInArrow(_packed(chunk_bytes(docs.sparkSession)), CHUNK), "chunks")
 
 
 class Chunk:

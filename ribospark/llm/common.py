@@ -1,66 +1,54 @@
-"""Shared pieces of the training-data operators.
-
-Intermediate tables go to the folder named by ``spark.checkpoint.dir`` (shared by
-driver and executors), so a lost executor costs a re-read, not a recomputation.
-"""
+"""Shared pieces of the training-data operators."""
 
 from __future__ import annotations
 
-import atexit
 import gc
-import sys
-import tempfile
 import time
-import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark import cloudpickle
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Functions of this package travel to the executors by value: they need no install there.
-cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
+from ..functions.kmers import let
+from ..workspace import fresh_path, materialize, remove, workspace
+
+__all__ = ["WORD", "components", "discard", "fresh_path", "let", "lowered", "materialize", "pieces", "release", "written", "workspace"]
 
 #: Words of a text: runs of anything but space and the control characters 9 to 13.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
-_roots: dict[str, str] = {}
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(x)`` with x bound to ``value``, computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-def workspace(spark: SparkSession) -> str:
-    """A folder of this application under ``spark.checkpoint.dir``; a temporary one where that is unset."""
-    app = spark.sparkContext.applicationId
-    if app not in _roots:
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        _roots[app] = f"{base or 'file://' + tempfile.mkdtemp(prefix='ribospark-')}/ribospark-{app}"
-        atexit.register(_remove, spark, _roots[app])
-    return _roots[app]
 
+def lowered(text: Column) -> Column:
+    """A-Z lower-cased, other letters left as they are; null as empty. Pure ASCII takes the fast way."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session may be gone by now; the folder is only scratch space
-        pass
 
+def pieces(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of at most ``rows``, so that few texts become Python objects at a time. Spark bounds the bytes of a batch."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"
 
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage and gives joins true sizes."""
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``materialize``, for a table that ``discard`` gives back when it has been read."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``written``; nothing may read them any more."""
+    for df in tables:
+        if path := getattr(df, "_scratch", None):
+            remove(df.sparkSession, path)
 
 
 def release(spark: SparkSession) -> None:
@@ -74,12 +62,6 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.4)
 
 
-def bounded_batches(spark: SparkSession, records: int = 2000) -> None:
-    """Arrow batches of whole texts: fewer rows each than Spark's default, so that a batch stays small."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > records:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
-
-
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(u, v)`` as ``(node, component)``, component the least node.
 
@@ -102,12 +84,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         return down.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
 
     first = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v")
-    now = materialize(first.distinct(), "stars")
+    now = written(first.distinct(), "stars")
     seen = mark(now)
     if not seen[0]:
         return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(max_rounds):
-        now = materialize(small(large(now)), "stars")
+        before, now = now, written(small(large(now)), "stars")
+        discard(before)
         was, seen = seen, mark(now)
         if was == seen:
             break

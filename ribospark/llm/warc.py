@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh_path, materialize
+from .common import fresh_path, materialize, pieces
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
@@ -97,7 +97,6 @@ def write_warc(records: DataFrame, folder: str) -> DataFrame:
 
     A null payload is empty. Empty partitions write no file.
     """
-    bounded_batches(records.sparkSession, 500)
     records = records.select("record_id", "record_type", "target_uri", "refers_to", "payload")
     return materialize(records.mapInArrow(_writer(folder), "path string, records long, bytes long"), "warc-files")
 

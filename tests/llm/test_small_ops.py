@@ -51,32 +51,52 @@ def test_exact_dedup_of_nothing(spark):
     assert exact_dedup(docs(spark, [])).collect() == []
 
 
-def test_quotient_filters_merge_without_loss():
+@pytest.mark.parametrize("bits", [8, 12, 54, 64])
+def test_quotient_filters_hold_what_was_added(bits):
+    import numpy as np
+
+    rng = np.random.default_rng(bits)
+    values = np.unique(rng.integers(0, 1 << bits, 300, dtype=np.uint64))[: 1 << (bits - 2)]
+    added = np.concatenate([rng.choice(values, 500), np.repeat(values[:3], [300, 70_000, 2])])
+    want = Counter(added.tolist())
+    f = CountingQuotientFilter.build(added, bits)
+    assert f.quotient_bits + f.remainder_bits == bits and f.remainders.max() < 1 << f.remainder_bits
+    back = CountingQuotientFilter.from_bytes(f.to_bytes())
+    for x in (f, back):
+        found, counts = x.entries()
+        assert dict(zip(found.tolist(), counts.tolist(), strict=True)) == want and (np.diff(found.astype(float)) >= 0).all()
+    assert all(f.count(v) == n for v, n in want.items())
+    assert all(f.count(int(v)) == want[int(v)] for v in rng.integers(0, 1 << bits, 300, dtype=np.uint64))
+    used = f.marks.any(axis=0).sum()
+    assert used == sum(1 + -(-(n - 1).bit_length() // f.remainder_bits) for n in want.values())
+
+
+def test_quotient_filters_of_any_size_merge_without_loss():
     import numpy as np
 
     rng = np.random.default_rng(3)
-    values = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
-    parts = [rng.choice(values, 400) for _ in range(3)]
-    blocks = defaultdict(list)
-    for p in parts:
-        for block, remainders, counts in CountingQuotientFilter.build(p, 6).blocks():
-            blocks[block].append((remainders, counts))
-    found = Counter()
-    for block, pieces in blocks.items():
-        for r, c in zip(*CountingQuotientFilter.merge(pieces), strict=True):
-            found[(block << 58) | int(r)] += int(c)
-    assert found == Counter(int(x) for p in parts for x in p)
+    values = rng.integers(0, 1 << 58, 500, dtype=np.uint64)
+    parts = [rng.choice(values, n) for n in (0, 3, 400, 2000)]
+    merged = CountingQuotientFilter.merge([CountingQuotientFilter.build(p, 58) for p in parts])
+    found, counts = merged.entries()
+    assert dict(zip(found.tolist(), counts.tolist(), strict=True)) == Counter(int(x) for p in parts for x in p)
+    with pytest.raises(ValueError, match="merge"):
+        CountingQuotientFilter.merge([CountingQuotientFilter.build(values, 58), CountingQuotientFilter.build(values, 59)])
 
 
 def placed(key, tree):
-    """Region, rack and shard by least race time, computed apart from Spark."""
+    """Region, rack and shard, level by level, computed apart from Spark."""
     import math
 
-    def time(s, w):
-        bits = xxhash.xxh64_intdigest(f"shard {s} of {key}".encode(), 42) >> 11
-        return -math.log((bits + 0.5) / (1 << 53)) / w
+    def time(name, weight):
+        seed = xxhash.xxh64_intdigest(name.encode(), 42)
+        return -math.log(((xxhash.xxh64_intdigest(key.encode(), seed) >> 11) + 0.5) / (1 << 53)) / weight
 
-    return min((time(s, w), s) for region in tree for rack in region for s, w in rack)[1]
+    total = lambda node: node[1] if isinstance(node, tuple) else sum(map(total, node))
+    region = min(range(len(tree)), key=lambda i: time(f"region {i}", total(tree[i])))
+    first = sum(map(len, tree[:region]))
+    rack = min(range(len(tree[region])), key=lambda i: time(f"rack {first + i}", total(tree[region][i])))
+    return region, first + rack, min(tree[region][rack], key=lambda leaf: time(f"shard {leaf[0]}", leaf[1]))[0]
 
 
 def test_sharding_descends_the_tree_and_grows_into_the_new_shard(spark):
@@ -85,7 +105,7 @@ def test_sharding_descends_the_tree_and_grows_into_the_new_shard(spark):
     assert len(got) == len(rows)
     for r in got:
         key = "null" if r.doc_id is None else str(r.doc_id)
-        assert r["shard"] == placed(key, even_tree(24)) and r.grown_shard == placed(key, even_tree(25))
+        assert (r.region, r.rack, r["shard"]) == placed(key, even_tree(24)) and r.grown_shard == placed(key, even_tree(25))[2]
         assert r.grown_shard in (r["shard"], 24)
         assert r.rack == r["shard"] // 4 and r.region == r.rack // 3 and r.law == "key"
     for s in range(24):
@@ -97,11 +117,32 @@ def test_sharding_descends_the_tree_and_grows_into_the_new_shard(spark):
 
 
 def test_sharding_moves_rows_only_between_a_changed_subtree_and_the_rest(spark):
+    """Shard 5 weighs more: its rack 1 and region 0 gain rows, no others exchange any."""
     rows = docs(spark, [(i, "t") for i in range(3000)])
-    before = {r.doc_id: r["shard"] for r in shard_documents(rows).collect()}
-    after = {r.doc_id: r["shard"] for r in shard_documents(rows, weights={5: 3.0}).collect()}
-    moved = [(before[i], after[i]) for i in before if before[i] != after[i]]
-    assert moved and all(b == 5 for _, b in moved)
+    before, after = ({r.doc_id: r for r in shard_documents(rows, weights=w).collect()} for w in (None, {5: 3.0}))
+    moved = [(before[i], after[i]) for i in before if before[i]["shard"] != after[i]["shard"]]
+    assert moved and all(b.region == 0 for _, b in moved)
+    assert all(b.rack == 1 for a, b in moved if a.region == 0) and all(b["shard"] == 5 for a, b in moved if a.rack == 1)
+    counts = Counter(r["shard"] for r in after.values())
+    assert counts[5] > 2 * max(counts[4], counts[6])
+
+
+def test_copies_are_dealt_apart_and_rows_come_along(spark, tmp_path):
+    from ribospark.llm.sharding import write_shards
+
+    rows = docs(spark, [(i // 2, f"text {i // 2}") for i in range(1200)])
+    got = shard_documents(rows, 4, with_rows=True)
+    assert got.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "region", "rack", "text", "source", "bucket"]
+    seen, total = defaultdict(list), Counter()
+    for r in got.collect():
+        assert r.text == f"text {r.doc_id}"
+        seen[r.doc_id].append((r["shard"], r.slot))
+        total[r["shard"]] += 1
+    assert all(len({s for s, _ in v}) == 1 and abs(v[0][1] - v[1][1]) > total[v[0][0]] // 5 for v in seen.values())
+    write_shards(got, str(tmp_path / "out"))
+    for s in total:
+        part = spark.read.parquet(str(tmp_path / "out" / f"shard={s}"))
+        assert [r.slot for r in part.collect()] == list(range(total[s]))
 
 
 def water(sizes, weights, most):
