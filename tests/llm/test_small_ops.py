@@ -252,10 +252,66 @@ def test_warc_members_belong_to_one_range():
     records = [warc.encode_record(f"urn:page:{i}", "response", None, bytes([i]) * i * 37) for i in range(40)]
     data = b"".join(records)
     for step in (1, 7, 333, len(data)):
-        found = [o for a in range(0, len(data), step) for o, _ in warc.members(io.BytesIO(data), a, min(a + step, len(data)))]
+        found = [o for a in range(0, len(data), step) for o, *_ in warc.members(io.BytesIO(data), a, min(a + step, len(data)))]
         assert found == [sum(map(len, records[:i])) for i in range(40)]
 
 
+def _split(data, step):
+    return [warc.decode_record(d)["record_id"] for a in range(0, len(data), step) for _, d, _ in warc.members(io.BytesIO(data), a, min(a + step, len(data)))]
+
+
+@pytest.mark.parametrize("n_inner", [1, 2, 400])
+def test_warc_records_inside_records_stay_inside(n_inner):
+    """An archive inside a payload that deflate stores raw: short of its records, at no split does any of them appear."""
+    import random
+
+    noise = random.Random(n_inner).randbytes
+
+    def raw(record):
+        """The record in a member that stores it uncompressed, as some writers do."""
+        squeeze = zlib.compressobj(0, zlib.DEFLATED, 31)
+        return squeeze.compress(zlib.decompress(record, 31)) + squeeze.flush()
+
+    inner = b"".join(warc.encode_record(f"inner{i}", "response", None, noise(700)) for i in range(n_inner))
+    outer = [raw(warc.encode_record(f"outer{i}", "response", None, noise(30_000) + inner + noise(60_000 if i % 2 else 0))) for i in range(3)]
+    data = b"".join(outer)
+    assert inner[:500] in data
+    for step in (997, 20_000, len(data)):
+        assert _split(data, step) == ["outer0", "outer1", "outer2"]
+
+
+def test_warc_damage_is_found(spark, tmp_path):
+    records = [warc.encode_record(f"urn:page:{i}", "response", None, b"x%d" % i * 3000) for i in range(6)]
+    starts = [sum(map(len, records[:i])) for i in range(7)]
+    whole = b"".join(records)
+    flipped = bytearray(whole)
+    flipped[starts[2] - 6] ^= 1  # in the checksum of record 1
+    for name, data, lost in (("whole", whole, None), ("flipped", bytes(flipped), 1), ("cut", whole[:-5], 5)):
+        (tmp_path / f"{name}.warc.gz").write_bytes(data)
+        files = warc.list_archives(spark, f"file://{tmp_path}/{name}.warc.gz")
+        got = warc.read_warc(files)
+        assert sorted(r.record_id for r in got.collect()) == [f"urn:page:{i}" for i in range(6) if i != lost]
+        gaps = [(r.offset, r.bytes) for r in warc.lost_bytes(got, files).collect()]
+        assert gaps == ([] if lost is None else [(starts[lost], min(starts[lost + 1], len(data)) - starts[lost])])
+        small = warc.read_warc(files, split_bytes=50)
+        held = {r.record_id for r in small.collect()}
+        unread = sum(r.bytes for r in warc.lost_bytes(small, files).collect())
+        assert held <= {f"urn:page:{i}" for i in range(6)} and sum(len(records[i]) for i in range(6) if f"urn:page:{i}" in held) + unread == len(data)
+
+
+def test_warc_paths_of_hadoop_stores(monkeypatch):
+    with pytest.raises(ValueError, match="opener"):
+        warc.filesystem("strange://x/y")
+
+    class Stores:
+        @staticmethod
+        def from_uri(uri):
+            return uri
+
+    monkeypatch.setattr(warc.pafs, "FileSystem", Stores)
+    assert [warc.filesystem(x) for x in ("s3a://bucket/a", "file:/tmp/x", "/tmp/x", "hdfs://h/x")] == ["s3://bucket/a", "file:/tmp/x", "/tmp/x", "hdfs://h/x"]
+
+
 def test_warc_reads_payloads_and_listed_archives(spark):
     from pyspark.sql import functions as F
 
