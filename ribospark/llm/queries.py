@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import MARK, NAME, NUM, UNIT, UNITS, leaks
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
-from .licenses import RULES, SENTENCES, pattern, scan_licenses
+from .licenses import END, ENDS, FAR, LEADERS, MAX_GAP, OTHER, RULES, SENTENCES, pattern, scan_licenses
 from .mixing import mix
 from .quality import fit_quality, score_quality
 from .sharding import shard_documents
@@ -85,12 +85,16 @@ _RULES = ", ".join(f"('{name}', '{pattern(ids)}')" for name, ids in RULES)
 
 LICENSES = rf"""
 WITH known(sentence_id, sentence) AS (VALUES {_KNOWN}), rules(license, pattern) AS (VALUES {_RULES}),
-lines AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(lower(text), '([.!?;:])[ \t\r]+', '\1' || chr(10), 'g'), '[^a-z0-9.\n]+', ' ', 'g'), '[ .]*\n[ .]*', chr(10), 'g'), chr(10)) AS s FROM documents),
-cut AS (SELECT doc_id, unnest(range(len(s))) AS place, regexp_replace(unnest(s), '^[ .]+|[ .]+$', '', 'g') AS sentence FROM lines),
-seq AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS known_sentences, '|' || string_agg(sentence_id, '|' ORDER BY place) || '|' AS ids FROM cut JOIN known USING (sentence) GROUP BY doc_id),
+texts AS (SELECT DISTINCT doc_id, text FROM documents),
+cut AS (SELECT doc_id, text, string_split(regexp_replace(regexp_replace(regexp_replace(lower(text), '{LEADERS}', '\1', 'g'), '{ENDS}', '{END}', 'g'), '{OTHER}', ' ', 'g'), '{END}') AS ss FROM texts),
+parts AS (SELECT doc_id, text, unnest(range(len(ss))) AS place, unnest(ss) AS s FROM cut),
+tried AS (SELECT doc_id, text, place, unnest(range(len(c))) AS sub, regexp_replace(unnest(c), '^[ .\n]+|[ .\n]+$', '', 'g') AS sentence FROM
+  (SELECT doc_id, text, place, list_concat([regexp_replace(s, ' *\n *', ' ', 'g')], CASE WHEN contains(s, chr(10)) THEN string_split(s, chr(10)) ELSE [] END) AS c FROM parts)),
+found AS (SELECT doc_id, text, place, sub, sentence_id, lag(place) OVER (PARTITION BY doc_id, text ORDER BY place, sub) AS before FROM tried JOIN known USING (sentence)),
+seq AS (SELECT doc_id, text, CAST(count(*) AS INTEGER) AS known_sentences, '|' || string_agg(CASE WHEN place - before > {MAX_GAP} THEN '{FAR}' ELSE '' END || sentence_id || '|', '' ORDER BY place, sub) AS ids FROM found GROUP BY doc_id, text),
 hit AS (SELECT * FROM seq JOIN rules ON contains(ids, pattern))
 SELECT DISTINCT doc_id, known_sentences, license FROM hit h
-WHERE NOT EXISTS (SELECT 1 FROM hit o WHERE o.doc_id = h.doc_id AND o.pattern <> h.pattern AND contains(o.pattern, h.pattern))
+WHERE NOT EXISTS (SELECT 1 FROM hit o WHERE o.doc_id = h.doc_id AND o.text = h.text AND o.pattern <> h.pattern AND contains(o.pattern, h.pattern))
 """
 
 

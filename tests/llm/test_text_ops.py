@@ -166,6 +166,65 @@ def test_licences(spark):
     assert scan_licenses(docs(spark, [])).collect() == []
 
 
+#: Licence texts as they are published (fixed values).
+MIT = """MIT License
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY."""
+BSD2 = """Copyright (c) 2020, Some Body
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+BSD3 = BSD2 + """
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+GPL = "This program is free software{0} you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation{1} either version {2} of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY."
+LGPL = GPL.replace("program", "library").replace("General", "Lesser General")
+ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+PUBLISHED = {
+    "MIT": MIT, "BSD-2-Clause": BSD2, "BSD-3-Clause": BSD3, "Apache-2.0": APACHE, "GPL-3.0-or-later": GPL.format(":", ",", 3), "GPL-2.0-or-later": GPL.format(";", ";", 2),
+    "LGPL-2.1-or-later": LGPL.format(";", ";", "2.1"), "ISC": ISC, "MPL-2.0": MPL,
+}
+
+
+def wrapped(text, width, leader="", newline="\n"):
+    import textwrap
+
+    paragraphs = [" ".join(p.split()) for p in text.split("\n\n")]
+    lines = "\n\n".join(textwrap.fill(p, width) if width else p for p in paragraphs).split("\n")
+    return newline.join((leader + x).rstrip() for x in lines)
+
+
+@pytest.mark.parametrize(("width", "leader", "newline"), [(0, "", "\n"), (79, "", "\n"), (60, "# ", "\n"), (70, " * ", "\n"), (72, "// ", "\r\n"), (40, ";; ", "\n"), (79, "  > ", "\n")])
+def test_published_licences_wrapped_and_commented(spark, width, leader, newline):
+    rows = [(i, f"code();{newline}{wrapped(t, width, leader, newline)}{newline}more code") for i, t in enumerate(PUBLISHED.values())]
+    rows.append((99, " ".join(MIT.split()[7:])))
+    got = {(r.doc_id, r.license) for r in scan_licenses(docs(spark, rows)).collect()}
+    assert got == {(i, x) for i, x in enumerate(PUBLISHED)} | {(99, "MIT")}
+
+
+def test_known_sentences_of_a_rule_may_not_be_far_apart(spark):
+    first, rest = MIT.split("The above")
+    rows = [(1, f"{first}{'Other words. ' * 20}The above{rest}"), (2, f"{first}{'Other words. ' * 40}The above{rest}")]
+    assert [r.doc_id for r in scan_licenses(docs(spark, rows)).collect()] == [1]
+
+
 def labelled(n=400):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghi") for _ in range(rng.randint(2, 8)))
