@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .decontaminate import MARK, NAME, NUM, UNIT, UNITS, leaks
+from .decontaminate import LITERAL, MARK, NAME, NUM, UNIT, UNITS, leaks
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
 from .licenses import END, ENDS, FAR, LEADERS, MAX_GAP, OTHER, RULES, SENTENCES, pattern, scan_licenses
@@ -98,21 +98,33 @@ WHERE NOT EXISTS (SELECT 1 FROM hit o WHERE o.doc_id = h.doc_id AND o.text = h.t
 """
 
 
-def _windows(source: str, key: str) -> str:
-    """SQL of the windows of ``text``, named by their words instead of a hash."""
-    space = r"[ \t\n\x0B\f\r]"
+def _windows(source: str, key: str, widths: tuple[int, ...]) -> str:
+    """SQL of the forms of the windows of ``text``, named by their words instead of a hash; ``s`` holds the values of placeholders."""
+    blank = r"[ \t\n\x0B\f\r]"
+    bare = f"list_transform(w, lambda x: replace(x, '{MARK}', ''))"
+    names = f"list_transform(w, lambda x: CASE WHEN starts_with(x, '{MARK}') THEN '{NAME}' ELSE x END)"
+    numbers = f"len(list_filter(w, lambda x: x IN ('{NUM}', '{UNIT}')))"
+    named = f"len(list_filter(w, lambda x: starts_with(x, '{MARK}')))"
+    forms = []
+    for width in widths:
+        whole = "OR i = 0" if width == max(widths) else ""
+        most = max(width - LITERAL, 0)
+        sliced = f"SELECT {key}, n, i AS pos, t[i + 1 : i + {width}] AS w, r[i + 1 : i + {width}] AS r FROM (SELECT *, unnest(range(len(t))) AS i FROM ready) WHERE i <= len(t) - {width} {whole}"
+        value = lambda test: f"list_transform(list_zip(w, r), lambda x: CASE WHEN {test} THEN x[2] END)"
+        forms.append(f"SELECT {key}, n, pos, array_to_string(CASE WHEN {numbers} <= {most} THEN {bare} ELSE r END, ' ') AS h, CASE WHEN {numbers} <= {most} THEN {value(f"x[1] IN ('{NUM}', '{UNIT}')")} ELSE [] END AS s FROM ({sliced})")
+        forms.append(f"SELECT {key}, n, pos, array_to_string({names}, ' ') AS h, {value(f"x[1] IN ('{NUM}', '{UNIT}') OR starts_with(x[1], '{MARK}')")} AS s FROM ({sliced}) WHERE {named} > 0 AND {named} + {numbers} <= {most}")
     return rf"""
-    SELECT {key}, n, pos, array_to_string(w[pos + 1 : pos + 5], ' ') AS h, w[pos + 1 : pos + 5] AS w5, raw[pos + 1 : pos + 5] AS r5 FROM (
-      SELECT *, unnest(range(n)) AS pos FROM (
-        SELECT {key}, string_split(canon, ' ') AS w, string_split(plain, ' ') AS raw, greatest(len(string_split(canon, ' ')) - 4, 1) AS n FROM (
-          SELECT {key}, plain, regexp_replace(lower(regexp_replace(regexp_replace(plain, '{MARK}[^ ]+', '{NAME}', 'g'), '[^ ]*[0-9][^ ]*', '{NUM}', 'g')), '{NUM} ({UNITS})( |$)', '{NUM} {UNIT}\2', 'g') AS canon FROM (
-            SELECT {key}, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(^|{space})(\p{{Lu}}\p{{Ll}})', '\1{MARK}\2', 'g'), '(^|[.!?]{space}|\n){MARK}', '\1', 'g'), '[^\p{{L}}\p{{N}}{MARK} \t\n\x0B\f\r]+', '', 'g'), '{space}+', ' ', 'g')) AS plain FROM {source})) WHERE canon <> ''))"""
+    WITH cut AS (SELECT {key}, trim(lower(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(^|[^\p{{L}}\p{{N}}])(\p{{Lu}}\p{{Ll}})', '\1{MARK}\2', 'g'),
+        '[^\p{{L}}\p{{N}}{MARK} \t\n\x0B\f\r]+', '', 'g'), '{blank}+', ' ', 'g'))) AS plain FROM {source}),
+    ready AS (SELECT {key}, string_split(regexp_replace(regexp_replace(plain, '[^ ]*[0-9][^ ]*', '{NUM}', 'g'), '{NUM} ({UNITS})( |$)', '{NUM} {UNIT}\2', 'g'), ' ') AS t,
+        string_split(replace(plain, '{MARK}', ''), ' ') AS r, greatest(len(string_split(plain, ' ')) - {max(widths) - 1}, 1) AS n FROM cut WHERE plain <> '')
+    {" UNION ALL ".join(forms)}"""
 
 
 DECONTAMINATE = rf"""
-WITH items AS ({_windows("benchmark", "item_id")}), found AS ({_windows("documents", "doc_id")}),
-hits AS (SELECT doc_id, item_id, items.n AS n_windows, found.pos - items.pos AS diagonal, items.pos AS ipos, items.w5 AS w5, items.r5 AS i5, found.r5 AS d5 FROM found JOIN items USING (h)),
-slots AS (SELECT DISTINCT doc_id, item_id, diagonal, lower(i) AS i, lower(d) AS d FROM (SELECT doc_id, item_id, diagonal, unnest(w5) AS w, unnest(i5) AS i, unnest(d5) AS d FROM hits) WHERE w IN ('{NUM}', '{NAME}', '{UNIT}')),
+WITH items AS ({_windows("benchmark", "item_id", (5,))}), found AS ({_windows("documents", "doc_id", (3, 4, 5))}),
+hits AS (SELECT DISTINCT doc_id, item_id, items.n AS n_windows, found.pos - items.pos AS diagonal, items.pos AS ipos, items.s AS i, found.s AS d FROM found JOIN items USING (h)),
+slots AS (SELECT DISTINCT doc_id, item_id, diagonal, i, d FROM (SELECT doc_id, item_id, diagonal, unnest(i) AS i, unnest(d) AS d FROM hits WHERE len(i) = len(d)) WHERE i IS NOT NULL OR d IS NOT NULL),
 lines AS (SELECT doc_id, item_id, diagonal, count(*) AS pairs, count(DISTINCT i) AS own, bool_or(i <> d) AS changed FROM slots GROUP BY ALL),
 good AS (SELECT hits.*, coalesce(changed, false) AS changed FROM hits LEFT JOIN lines USING (doc_id, item_id, diagonal) WHERE pairs IS NULL OR pairs = own)
 SELECT doc_id, item_id, CAST(n_windows AS INTEGER) AS n_windows, CAST(count(DISTINCT ipos) AS INTEGER) AS matched, bool_or(changed) AS changed

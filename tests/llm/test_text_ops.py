@@ -145,6 +145,86 @@ def test_leaks_of_templates(spark):
     assert leaks(docs(spark, []), bench).collect() == [] and leaks(docs(spark, rows), bench.limit(0)).collect() == []
 
 
+SWAPPED = "Tom has 5 apples. Jerry has 7 apples. Anna has 2 apples. How many apples do they have in all?"
+
+
+def test_copies_in_another_case_or_place_and_swapped_names(spark):
+    item = "What is the length of the river that runs from Bern to the northern sea"
+    short, name = "What is gravity", "In which year did Columbus sail"
+    bench = spark.createDataFrame([(1, item), (2, SWAPPED), (3, short), (4, name), (5, "gravity"), (6, "The Old Man And The Sea By Hemingway")], "item_id long, text string")
+    rows = {
+        1: item.lower(), 2: item.upper(), 3: f"Question: {item}? Answer", 4: f"1) {item}\n2) next", 5: "\u201c" + item + "\u201d",
+        6: SWAPPED.replace("Tom", "Maria").replace("Jerry", "Ivan").replace("Anna", "Lena"), 7: SWAPPED.replace("Tom", "Maria").replace("5", "9"), 8: SWAPPED.replace("Jerry", "Tom"),
+        9: "He asked her: what is gravity, and why?", 10: f"Q: {name}? Or not", 11: "Gravity!", 12: "gravity is what we feel", 13: "A Long List Of Other Capital Words In A Title",
+        14: "1 2 3 4 5 6 7 8 9 10 11 12 13", 15: "the old man and the sea by hemingway", 16: f"x {name.lower()} y",
+    }
+    got = {(r.doc_id, r.item_id, r.changed) for r in leaks(docs(spark, list(rows.items())), bench).collect()}
+    assert got == {*((i, 1, False) for i in (1, 2, 3, 4, 5)), (6, 2, True), (7, 2, True), (8, 2, True), (9, 3, False), (10, 4, False), (11, 5, False), (15, 6, False), (16, 4, False)}
+
+
+def test_leaks_match_brute_force_and_the_shuffled_join(spark, monkeypatch):
+    """Random texts of few words with names, numbers and units; the windows and their consistency in plain Python."""
+    import re
+
+    from ribospark.llm import decontaminate as d
+
+    rng = random.Random(12)
+    word = lambda: rng.choice(["the", "of", "Anna", "Bob", "sea", "5", "72", "km", "h", "runs", "x1", "River,", "is.", "Go:", "and"])
+    items = [(i, " ".join(word() for _ in range(rng.choice([2, 3, 4, 6, 9])))) for i in range(40)]
+    rows = []
+    for i in range(150):
+        part = [word() for _ in range(rng.randint(0, 12))]
+        copy = rng.choice(items)[1].split()
+        copy = [{"5": "8", "72": "90", "Anna": "Eve"}.get(w, w) if rng.random() < 0.3 else w for w in copy]
+        rows.append((i, " ".join(part[:6] + [w.lower() if i % 3 == 0 else w for w in copy] + part[6:])))
+
+    def words(text):
+        text = re.sub("[^A-Za-z0-9 ]", "", text).split()
+        types, after = [], False
+        for w in text:
+            kind = "N" if re.search("[0-9]", w) else "U" if after and w.lower() in d.UNITS.split("|") else "C" if re.match("[A-Z][a-z]", w) else ""
+            after = kind == "N"
+            types.append(kind)
+        return [w.lower() for w in text], types
+
+    def forms(text, width):
+        low, types = words(text)
+        for a in range(max(len(low) - width, 0) + 1):
+            w, t = low[a : a + width], types[a : a + width]
+            typed = lambda which, w=w, t=t: (tuple(k if k in which else x for x, k in zip(w, t, strict=True)), tuple(x if k in which else None for x, k in zip(w, t, strict=True)))
+            numbers = sum(k in ("N", "U") for k in t)
+            yield a, *(typed(("N", "U")) if numbers <= width - d.LITERAL else (tuple(w), ()))
+            if "C" in t and numbers + t.count("C") <= width - d.LITERAL:
+                yield a, *typed(("N", "U", "C"))
+
+    want = set()
+    for i, item in items:
+        n = len(words(item)[0])
+        own = [*forms(item, 5)]
+        for k, text in rows:
+            size = len(words(text)[0])
+            width = 5 if n >= 5 or size < 5 and size == n else n
+            if n < d.SHORTEST and size != n:
+                continue
+            lines = defaultdict(list)
+            for a, key, values in forms(text, width):
+                for b, other, theirs in own:
+                    if key == other:
+                        lines[a - b].append((b, values, theirs))
+            matched = set()
+            for hits in lines.values():
+                pairs = {(y, x) for _, xs, ys in hits for x, y in zip(xs, ys, strict=False) if x or y}
+                if len(pairs) == len({y for y, _ in pairs}):
+                    matched |= {b for b, _, _ in hits}
+            if len(matched) >= 0.8 * max(n - 4, 1):
+                want.add((k, i, len(matched)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    find = lambda: {(r.doc_id, r.item_id, r.matched) for r in leaks(docs(spark, rows), bench).collect()}
+    assert find() == want and len(want) > 60
+    monkeypatch.setattr(d, "MOST_BROADCAST", 10)
+    assert find() == want
+
+
 def test_inconsistent_slots_are_no_copy(spark):
     item = "Add 5 apples to the basket and then take 5 apples out of the basket again and count them"
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
