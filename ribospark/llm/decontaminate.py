@@ -72,6 +72,10 @@ def window_rows(rows: DataFrame, key: list[str], widths: list[int], flags: tuple
     def of_words(p: Column, a: Column, k: Column, r: Column, numbers: Column, bits: Column | None) -> Column:
         n = F.greatest(F.size(p) - max(widths), F.lit(0)) + 1
 
+        def flagged(h: Column) -> Column:
+            one = lambda at: F.getbit(F.get(bits, F.shiftright(at, 6)), at.bitwiseAND(63)) == 1
+            return let(h, lambda x: one(_places(x, flags[1])[0]) & one(_places(x, flags[1])[1]))
+
         def of_width(width: int) -> Column:
             def total(i: Column) -> Column:
                 return sum((F.coalesce(F.get(k, i + j), F.lit(0)) for j in range(1, width)), F.coalesce(F.get(k, i), F.lit(0)))
@@ -92,7 +96,6 @@ def window_rows(rows: DataFrame, key: list[str], widths: list[int], flags: tuple
             last = F.size(p) - width
             starts = F.when(last >= 0, F.sequence(F.lit(0), last)).when(F.lit(width == max(widths)), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
             if flags is not None:
-                flagged = lambda h: let(F.pmod(h, F.lit(flags[1])).cast("int"), lambda at: F.getbit(F.get(bits, F.shiftright(at, 6)), at.bitwiseAND(63)) == 1)
                 # Any form the window may have; which it has is settled for the few that are left.
                 plain = F.filter(starts, lambda i: flagged(hashed(p, i)))
                 named = F.filter(starts, lambda i: flagged(hashed(p, i)) | flagged(hashed(a, i)) | (numbers & flagged(literal(i))))
@@ -105,22 +108,28 @@ def window_rows(rows: DataFrame, key: list[str], widths: list[int], flags: tuple
                     return F.when(k.isNotNull(), values(1))
                 return F.when(k.isNotNull(), let(total(i), lambda t: F.when((t >= 8) & (F.floor(t / 8) <= max(width - LITERAL, 0)), values(8))))
 
-            both = lambda x: F.filter(F.array(*[F.struct(x["pos"].alias("pos"), n.alias("n"), x[f].alias("h"), slots(x["pos"], f).alias("slots")) for f in ("first", "second")]), lambda y: y["h"].isNotNull())
+            both = lambda x: F.filter(F.array(*[F.struct(x["pos"].alias("pos"), n.alias("n"), x[f].alias("h"), slots(x["pos"], f).alias("slots")) for f in ("first", "second")]), lambda y: y["h"].isNotNull() & (flagged(y["h"]) if flags is not None else F.lit(True)))
             return F.flatten(F.transform(found, both))
 
         return F.concat(*[of_width(w) for w in widths])
 
     of_text = lambda bits: let(marked(F.col("text")), lambda plain: F.when(plain != "", let(numbered(plain), lambda typed: forms(typed, plain, bits))))
     found = let(flags[0], of_text) if flags else of_text(None)
-    return rows.select(*key, F.explode(found).alias("x")).select(*key, "x.pos", "x.n", "x.h", "x.slots")
+    # A plain explode would have Spark filter by the size of the array first, and compute it twice.
+    return rows.select(*key, F.explode_outer(found).alias("x")).where("x IS NOT NULL").select(*key, "x.pos", "x.n", "x.h", "x.slots")
+
+
+def _places(h: Column, n: int) -> list[Column]:
+    """The two bits of a hash in a table of ``n``."""
+    return [F.pmod(h, F.lit(n)).cast("int"), F.pmod(F.shiftright(h, 24), F.lit(n)).cast("int")]
 
 
 def _flags(items: DataFrame) -> tuple[Column, int]:
-    """An array of longs whose bits tell whether any item window has a hash of that remainder, and the number of bits: 16 for
-    each window, from 4,096 to ``MOST_FLAGS``. A full table only lets more windows through to the join."""
+    """A Bloom filter of the items' window hashes: an array of longs, and the number of bits, 16 for each window, from 4,096 to
+    ``MOST_FLAGS``. A full one only lets more windows through to the join."""
     n = min(MOST_FLAGS, max(1 << 12, 1 << (16 * items.limit(MOST_FLAGS).count()).bit_length()))
-    at = F.pmod("h", F.lit(n))
-    rows = items.select(at.alias("at")).distinct().groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.collect_set((F.col("at") % 64).cast("int")).alias("bits"))
+    at = items.select(F.explode(F.array(*_places(F.col("h"), n))).alias("at")).distinct()
+    rows = at.groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.collect_set((F.col("at") % 64).cast("int")).alias("bits"))
     table = [0] * (n // 64)
     for r in rows.collect():  # at most MOST_FLAGS / 64 rows
         table[r.word] = sum(1 << b for b in r.bits)
