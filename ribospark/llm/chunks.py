@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from .common import pieces, written
 
 CHUNK_DOCS = (1 << 16) - 1
-#: Stands for a null id: after every other.
+#: Stands for a null id: after every other. A real id of this value is refused.
 LAST = (1 << 63) - 1
-CHUNK = "base long, ids binary, sizes binary, source binary, body binary"
+CHUNK = "base long, bytes long, ids binary, sizes binary, source binary, body binary"
 
 
 def chunk_bytes(spark: SparkSession) -> int:
@@ -50,7 +50,7 @@ def _chunks(batches, most: int):
         ordered = np.array([ids[i] for i in order], np.int64)
         sizes = np.array([len(texts[i]) for i in order], np.int64)
         return pa.record_batch({
-            "base": pa.array([start], pa.int64()), "ids": [ordered.tobytes()], "sizes": [sizes.tobytes()],
+            "base": pa.array([start], pa.int64()), "bytes": pa.array([int(sizes.sum())], pa.int64()), "ids": [ordered.tobytes()], "sizes": [sizes.tobytes()],
             "source": [np.array(source, np.int32).tobytes()], "body": [zstandard.compress(b"".join(own), 3)],
         })
 
@@ -60,6 +60,8 @@ def _chunks(batches, most: int):
             if ids and (held + len(data) > most or len(ids) >= CHUNK_DOCS):
                 yield flush()
                 ids, texts, held = [], [], 0
+            if i == LAST:
+                raise ValueError(f"the id {LAST} stands for null here")
             ids.append(LAST if i is None else i)
             texts.append(data)
             held += len(data)
@@ -67,14 +69,20 @@ def _chunks(batches, most: int):
         yield flush()
 
 
-def hash_ranges(spark: SparkSession) -> int:
-    """Hash ranges of an exchange between chunks: several a shuffle partition, so that one range is small work."""
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(4 * n, min(16 * n, 4096))
+#: Hashes of one range, about: with three bytes of each kept, few meet by chance, and a range is small work.
+RANGE_LOAD = 1 << 19
+
+
+def hash_ranges(chunks: DataFrame, bytes_per_hash: int) -> int:
+    """Hash ranges of an exchange between chunks: as many as keep a range near ``RANGE_LOAD`` whatever the input, and several a
+    shuffle partition."""
+    n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = chunks.agg(F.sum("bytes")).first()[0] or 0
+    return max(4 * n, min(16 * n, 4096), total // (bytes_per_hash * RANGE_LOAD))
 
 
 def chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Written rows ``base, ids, sizes, source, body``: a chunk's ids in order, its text sizes, the place of the
+    """Written rows ``base, bytes, ids, sizes, source, body``: a chunk's ids in order, its text sizes, the place of the
     copy that stands for each text, and the distinct texts compressed. Null ids are ``LAST``, null texts empty."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return written(texts.mapInArrow(_packed(chunk_bytes(docs.sparkSession)), CHUNK), "chunks")

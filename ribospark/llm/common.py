@@ -7,13 +7,13 @@ import time
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.kmers import let
 from ..workspace import fresh_path, materialize, remove, workspace
 
-__all__ = ["WORD", "components", "discard", "fresh_path", "let", "lowered", "materialize", "pieces", "release", "written", "workspace"]
+__all__ = ["WORD", "components", "discard", "fresh_path", "join_hot", "let", "lowered", "materialize", "pieces", "release", "written", "workspace"]
 
 #: Words of a text: runs of anything but space and the control characters 9 to 13.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -62,6 +62,23 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.4)
 
 
+#: Keys that are sent to every task as hot, at most; the parts a hot key is dealt to.
+MOST_HOT, SALTS = 100_000, 32
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int, by: str) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row a key with the key's number of rows as ``weight``.
+
+    Of ``total`` rows at most ``MOST_HOT`` keys can have more than ``total / MOST_HOT``: those above that, and above 1,000, are
+    sent to every task, and their rows dealt to several by column ``by``. So no key ends up in one task.
+    """
+    hot = F.col(weight) > max(1000, -(-total // MOST_HOT))
+    keys = table.where(hot).select(key, F.lit(1).alias("_hot"))
+    rows = rows.join(F.broadcast(keys), key, "left").withColumn("_salt", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
+    salts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return rows.join(table.withColumn("_salt", F.explode(salts)), [key, "_salt"]).drop("_salt")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(u, v)`` as ``(node, component)``, component the least node.
 
@@ -72,15 +89,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     def mark(df: DataFrame):
         return tuple(df.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first())
 
-    # Each step is one exchange: the least neighbour of a node is found where its edges are, and every edge gives one edge.
-    def large(e: DataFrame) -> DataFrame:
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        both = both.withColumn("m", F.least("u", F.min("v").over(Window.partitionBy("u"))))
-        return both.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    # The least neighbour comes by a sum folded in each task, and back to the edges with hot nodes dealt apart.
+    def least(e: DataFrame, total: int) -> DataFrame:
+        return join_hot(e, e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "u", "n", total, "v").drop("n")
+
+    def large(e: DataFrame, total: int) -> DataFrame:
+        both = least(e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), 2 * total)
+        return both.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
-    def small(e: DataFrame) -> DataFrame:
-        down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        down = down.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+    def small(e: DataFrame, total: int) -> DataFrame:
+        down = least(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), total)
         return down.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
 
     first = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v")
@@ -89,8 +107,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     if not seen[0]:
         return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(max_rounds):
-        before, now = now, written(small(large(now)), "stars")
-        discard(before)
+        half = written(large(now, seen[0]), "stars")
+        before, now = now, written(small(half, seen[0]), "stars")
+        discard(before, half)
         was, seen = seen, mark(now)
         if was == seen:
             break

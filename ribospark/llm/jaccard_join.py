@@ -3,29 +3,35 @@
 1. Repeat filter. A partner at similarity t shares at least t of a text's shingles, so a
    text needs that share of shingles which occur elsewhere. Tasks send packed shingle
    residues to hash ranges; each range finds the repeated ones and sends counts back.
-2. Survivors, one for each distinct shingle set, get exact document frequencies. Order i
-   ranks shingles by frequency, ties by hash i; a pair at t shares a shingle of both
-   prefixes under every order, so a pair must pass all orders before it is verified.
-3. Texts joined by prefix shingles form blocks. Blocks are verified in tiles of bounded
-   size: first each tile in itself; then texts outside a block's largest component
-   against all its tiles. Pairs inside one component need no further test, so no link
-   between components is missed and a large group of near copies costs one pass.
+2. Survivors, one for each distinct shingle set, get exact document frequencies. All orders
+   begin with shingles of frequency one; then order 0 ranks by frequency, the others each by
+   a hash of its own, whatever the frequency. A pair at t shares a shingle of both prefixes
+   under every order, so a pair must pass all of them, and the sizes, before it is verified.
+3. Texts joined by prefix shingles of order 0 form blocks, cut into bands by size: a text can
+   only meet its own band and the two beside it. Bands are verified in tiles of bounded size:
+   first each tile in itself; then texts outside a block's largest component against the tiles
+   of their bands. Pairs inside one component need no further test, so no link between
+   components is missed and a large group of near copies costs one pass.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import LAST, Chunk, chunked, hash_ranges
-from .common import components, materialize, release
+from .common import components, discard, join_hot, materialize, release, written
 from .shingles import fingerprint, mix, shingle_sets
 
 ORDERS = 3
 #: Texts, and shingles of texts, that one tile holds about.
 TILE, TILE_SHINGLES = 1500, 1 << 19
+#: A block of so few tiles, over its bands, is verified as one.
+BANDS_OF_A_TILE = 3
 
 
 def _packed(k: int, ranges: int):
@@ -44,7 +50,7 @@ def _packed(k: int, ranges: int):
         own = [i for i in range(len(sets)) if source[i] == i and len(sets[i])]
         tokens = np.concatenate([sets[i] for i in own]) if own else np.zeros(0, np.uint64)
         doc = np.repeat(np.array(own, np.uint16), [len(sets[i]) for i in own])
-        at = ((tokens >> np.uint64(24)) % np.uint64(ranges)).astype(np.int32)
+        at = ((tokens & np.uint64((1 << 40) - 1)) % np.uint64(ranges)).astype(np.int32)
         order = np.argsort(at, kind="stable")
         residues = (tokens[order] >> np.uint64(40)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
         doc, at = doc[order], at[order]
@@ -99,7 +105,7 @@ def _counted(table: pa.Table) -> pa.Table:
 def repeat_filter(chunks: DataFrame, k: int) -> DataFrame:
     """``doc_id, rid, base, text, n, fp1, fp2, m`` for each row: its chunk and the place of its text there, set size, fingerprint,
     and at most how many of its shingles occur in other texts (residues may collide, which only raises ``m``)."""
-    ranges = hash_ranges(chunks.sparkSession)
+    ranges = hash_ranges(chunks, 6)
     blobs = chunks.mapInArrow(_packed(k, ranges), "range int, base long, directory binary, residues binary, docs binary")
     back = blobs.groupBy("range").applyInArrow(_repeated, "base long, directory binary, docs binary")
     return back.groupBy("base").applyInArrow(_counted, "doc_id long, rid long, base long, text long, n long, fp1 long, fp2 long, m long")
@@ -204,44 +210,58 @@ def _tiled(num: int, den: int):
 
 def similarity_edges(tokens: DataFrame, num: int, den: int) -> DataFrame:
     """Edges ``u, v`` that join the same components as all pairs of ``tokens(node, n, tokens)`` with ``den * |a & b| >= num * |a | b|``."""
+    total = tokens.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     rows = tokens.select("node", "n", F.explode("tokens").alias("token"))
-    by_token = Window.partitionBy("token")
-    rows = rows.withColumn("df", F.count("*").over(by_token)).where("df > 1")
+    known = written(rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "frequencies")
+    rows = join_hot(rows, known, "token", "df", total, "node")
     # A prefix holds n - ceil(t n) + 1 shingles; those of frequency one come first and meet nobody.
     room = F.col("n") - F.ceil(F.col("n") * num / F.lit(den)).cast("long") + 1 - (F.col("n") - F.count("*").over(Window.partitionBy("node")))
     rows = rows.withColumn("room", room).where("room > 0")
     for i in range(ORDERS):
-        rows = rows.withColumn(f"in{i}", F.row_number().over(Window.partitionBy("node").orderBy("df", _order_hash(i), "token")) <= F.col("room"))
+        order = ["df"] * (i == 0) + [_order_hash(i), "token"]
+        rows = rows.withColumn(f"in{i}", F.row_number().over(Window.partitionBy("node").orderBy(*order)) <= F.col("room"))
     prefixes = [F.collect_list(F.when(F.col(f"in{i}"), F.col("token"))).alias(f"prefix{i}") for i in range(ORDERS)]
     prefix = materialize(rows.groupBy("node").agg(F.sum("df").alias("weight"), *prefixes), "prefixes")
+    discard(known)
     first = prefix.select("node", F.explode("prefix0").alias("token"))
-    least = first.groupBy("token").agg(F.min("node").alias("u"), F.count("*").alias("k")).where("k > 1")
-    blocks = components(first.join(least, "token").select("u", F.col("node").alias("v")))
+    least = written(first.groupBy("token").agg(F.min("node").alias("u"), F.count("*").alias("k")).where("k > 1"), "least")
+    blocks = components(join_hot(first, least, "token", "k", total, "node").select("u", F.col("node").alias("v")))
     blocks = materialize(blocks.withColumnRenamed("component", "block"), "blocks")
-    sizes = blocks.join(tokens.select("node", "n"), "node").groupBy("block").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
-    sizes = materialize(sizes.select("block", F.greatest(F.ceil(F.col("size") / TILE), F.ceil(F.col("total") / TILE_SHINGLES)).cast("int").alias("tiles")), "sizes")
-    texts = materialize(tokens.join(blocks, "node").join(prefix, "node").join(sizes, "block"), "tiles")
+    discard(least)
+    # Sizes of a linked pair differ by a factor of at most den / num: they lie in one band or in two beside each other.
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) + 1e-9).cast("int")
+    held = blocks.join(tokens.select("node", "n"), "node").withColumn("band", band)
+    sizes = held.groupBy("block", "band").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
+    sizes = materialize(sizes.select("block", "band", F.greatest(F.ceil(F.col("size") / TILE), F.ceil(F.col("total") / TILE_SHINGLES)).cast("int").alias("tiles")), "sizes")
+    spread = materialize(sizes.groupBy("block").agg(F.sum("tiles").alias("all_tiles")), "spread")
+    texts = materialize(tokens.join(blocks, "node").join(prefix, "node").withColumn("band", band).join(sizes, ["block", "band"]).join(spread, "block"), "tiles")
     columns = ["node", "n", "weight", "tokens", *[f"prefix{i}" for i in range(ORDERS)]]
     tile = F.pmod(F.xxhash64("node"), F.col("tiles"))
-    inside = texts.withColumn("tile", tile).withColumn("outside", F.lit(False)).select("block", "tile", "outside", *columns)
-    edges = materialize(inside.groupBy("block", "tile").applyInArrow(_tiled(num, den), "u long, v long"), "edges")
-    large = texts.where("tiles > 1")
+    # A block that fits one tile is one, whatever its bands.
+    small = texts.where(F.col("all_tiles") <= BANDS_OF_A_TILE).select("block", F.lit(-1).alias("band"), F.lit(0).cast("long").alias("tile"), F.lit(False).alias("outside"), *columns)
+    large = texts.where(F.col("all_tiles") > BANDS_OF_A_TILE)
+    inside = large.withColumn("tile", tile.cast("long")).withColumn("outside", F.lit(False)).select("block", "band", "tile", "outside", *columns)
+    edges = materialize(small.union(inside).groupBy("block", "band", "tile").applyInArrow(_tiled(num, den), "u long, v long"), "edges")
     if large.limit(1).count() == 0:
         return edges
     # Centres of the tiles of a large block against each other, then whoever is still outside its largest component.
-    centre = inside.join(large.select("node"), "node", "left_semi").groupBy("block", "tile").agg(F.max_by(F.struct(*columns), F.struct("weight", "node")).alias("c"))
-    centres = centre.select("block", F.floor(F.col("tile") / TILE).alias("tile"), F.lit(False).alias("outside"), "c.*")
-    edges = materialize(edges.union(centres.groupBy("block", "tile").applyInArrow(_tiled(num, den), "u long, v long")), "edges")
-    found = large.select("node", "block").join(components(edges), "node", "left").select("node", "block", F.coalesce("component", "node").alias("component"))
+    centre = inside.groupBy("block", "band", "tile").agg(F.max_by(F.struct(*columns), F.struct("weight", "node")).alias("c"))
+    centres = centre.select("block", F.floor((F.col("band") * 7 + F.col("tile")) / TILE).alias("part"), F.lit(False).alias("outside"), "c.*")
+    edges = materialize(edges.union(centres.groupBy("block", "part").applyInArrow(_tiled(num, den), "u long, v long")), "edges")
+    found = large.select("node", "block", "band").join(components(edges), "node", "left").select("node", "block", "band", F.coalesce("component", "node").alias("component"))
     found = materialize(found, "found")
     largest = found.groupBy("block", "component").count().groupBy("block").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
-    outsiders = materialize(found.join(largest, "block").where("component <> largest").select("node"), "outsiders")
-    chunk = F.floor(F.row_number().over(Window.partitionBy("block", "salt").orderBy("node")) / TILE) * 64 + F.col("salt")
-    out = large.join(outsiders, "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(64))).withColumn("chunk", chunk)
-    chunks = out.groupBy("block").agg(F.collect_set("chunk").alias("chunks"))
-    out = out.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("block", "tile", "chunk", F.lit(True).alias("outside"), *columns)
-    all_ = large.withColumn("tile", tile).join(chunks, "block").withColumn("chunk", F.explode("chunks")).select("block", "tile", "chunk", F.lit(False).alias("outside"), *columns)
-    more = out.union(all_).groupBy("block", "tile", "chunk").applyInArrow(_tiled(num, den), "u long, v long")
+    outsiders = materialize(found.join(largest, "block").where("component <> largest").select("node", "block", "band"), "outsiders")
+    # Chunks of outsiders, as many as their number asks for, meet the tiles of the bands that their sizes can link to.
+    chunks = outsiders.join(tokens.select("node", "n"), "node").groupBy("block", "band").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("chunks"))
+    chunks = materialize(chunks, "chunk-numbers")
+    near = F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)]))
+    meets = chunks.select("block", F.col("band").alias("out_band"), near.alias("band"), "chunks").join(sizes, ["block", "band"])
+    out = large.drop("tiles", "band").join(outsiders.withColumnRenamed("band", "out_band"), ["node", "block"]).join(meets, ["block", "out_band"]).withColumn("chunk", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("chunks")))
+    out = out.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("block", "band", "tile", "out_band", "chunk", F.lit(True).alias("outside"), *columns)
+    all_ = large.withColumn("tile", tile.cast("int")).join(meets.drop("tiles"), ["block", "band"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    all_ = all_.select("block", "band", "tile", "out_band", F.col("chunk").cast("long").alias("chunk"), F.lit(False).alias("outside"), *columns)
+    more = out.union(all_).groupBy("block", "band", "tile", "out_band", "chunk").applyInArrow(_tiled(num, den), "u long, v long")
     return edges.union(materialize(more, "edges"))
 
 
@@ -251,7 +271,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     Words are runs of anything but space and the characters 9 to 13, with A-Z lowered; the set holds the distinct
     ``k``-word shingles, or the whole sequence of a shorter text. Two rows link when ``den * |a & b| >= num * |a | b|``;
     rows without words link with nothing. ``component_id`` is the least id that links reach, the row's own included.
-    A row without id has no component; an empty table gives an empty result. Shingles are compared by 64-bit hashes,
+    A row without id has no component, an id of 2^63 - 1 raises; an empty table gives an empty result. Texts of any length are taken whole. Shingles are compared by 64-bit hashes,
     equal sets found by 128-bit fingerprints.
     """
     chunks = chunked(docs, id_col, text_col)
