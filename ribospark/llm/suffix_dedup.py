@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import LAST, Chunk, chunked, hash_ranges
-from .common import materialize, release
+from .common import discard, materialize, release, written
 from .shingles import _table, mix
 
 
@@ -75,7 +75,8 @@ def selected(chunk: Chunk, length: int, ranges: int):
     if not parts:
         return none, none, none, none, none, none
     text, at, lo, hi, rank = (np.concatenate(x) for x in zip(*parts, strict=True))
-    where = ((rank >> np.uint64(24)) % np.uint64(ranges)).astype(np.int64)
+    rank = mix(rank)  # selected ranks are the least of their neighbours: mixed again, all their bits tell them apart
+    where = ((rank & np.uint64((1 << 40) - 1)) % np.uint64(ranges)).astype(np.int64)
     # The same rank selected again and again in one text (a run of one letter) keeps its place in the order.
     order = np.argsort(where, kind="stable")
     return text[order], at[order], lo[order], hi[order], where[order], (rank[order] >> np.uint64(40)).astype(np.int64)
@@ -170,6 +171,35 @@ def _contexts(length: int, ranges: int):
     return contexts
 
 
+def _ordered(raw: np.ndarray, where: np.ndarray, pair: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions by their rank pairs, and whether each begins a new string: neighbours of one pair are compared byte by byte.
+
+    Where pairs of different strings collide, all are sorted by their bytes instead.
+    """
+    order = np.argsort(pair, kind="stable")
+    sorted_pair = pair[order]
+    same = np.flatnonzero(sorted_pair[1:] == sorted_pair[:-1])
+    words = np.lib.stride_tricks.as_strided(raw, (max(len(raw) - 7, 0), 8), (1, 1)) if len(raw) >= 8 else np.zeros((0, 8), np.uint8)
+    parts = [*range(0, length - 7, 8), length - 8] if length >= 8 else []
+    equal = np.ones(len(same), bool)
+    for a in range(0, len(same), 1 << 18):
+        x, y = where[order[same[a : a + (1 << 18)]]], where[order[same[a : a + (1 << 18)] + 1]]
+        fine = np.ones(len(x), bool)
+        for at in parts:
+            fine &= np.ascontiguousarray(words[x + at]).view("<u8").ravel() == np.ascontiguousarray(words[y + at]).view("<u8").ravel()
+        for at in range(length) if not parts else ():
+            fine &= raw[x + at] == raw[y + at]
+        equal[a : a + (1 << 18)] = fine
+    if not equal.all():
+        rows = np.lib.stride_tricks.as_strided(raw, (len(raw) - length + 1, length), (1, 1))
+        named = np.unique(np.ascontiguousarray(rows[where]).view(f"V{length}").ravel(), return_inverse=True)[1].ravel()
+        order = np.argsort(named, kind="stable")
+        return order, np.concatenate([[True], named[order][1:] != named[order][:-1]])
+    begins = np.ones(len(order), bool)
+    begins[same + 1] = False
+    return order, begins
+
+
 def _doubled(length: int):
     k = (length + 1) // 2
 
@@ -187,9 +217,8 @@ def _doubled(length: int):
         where = offset[item] + at
         with np.errstate(over="ignore"):
             pair = mix(ranks[where] * np.uint64(3) + ranks[where + length - k])
-        order = np.argsort(pair, kind="stable")
-        sorted_pair = pair[order]
-        first = np.flatnonzero(np.concatenate([[True], sorted_pair[1:] != sorted_pair[:-1]])) if len(order) else np.zeros(0, np.int64)
+        order, begins = _ordered(raw, where, pair, length)
+        first = np.flatnonzero(begins)
         least = np.minimum.reduceat(ids[item][order], first) if len(first) else np.zeros(0, np.int64)
         earlier = np.zeros(len(order), bool)
         earlier[order] = np.repeat(least, np.diff(np.append(first, len(order)))) < ids[item][order]
@@ -252,13 +281,14 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     Removed is each byte of the text's UTF-8 covered by a ``length``-byte string that also starts in a document with a
     smaller id; strings are judged on the input, and never cross documents. A null text is empty. A null id comes after
     every other id; rows repeated under one id don't remove from each other. An empty table gives an empty result.
-    Strings are compared by 64-bit ranks within a hash range.
+    Ranks are 64-bit hashes; strings whose ranks agree are compared byte by byte before anything is removed. Very long texts
+    are taken whole; an id of 2^63 - 1 raises.
     """
     if length < 4:
         raise ValueError("length must be at least 4 bytes")
     spark = docs.sparkSession
-    ranges = hash_ranges(spark)
     chunks = chunked(docs, id_col, text_col)
+    ranges = hash_ranges(chunks, (length + 1) // 4)  # winnowing selects about two positions in half a length
     later = later_copies(chunks)
     ranks = chunks.mapInArrow(_sent(length, ranges), "range int, base long, residues binary, texts binary")
     bits = ranks.groupBy("range").applyInArrow(_not_unique, "base long, range int, bits binary")

@@ -128,6 +128,29 @@ def test_suffix_dedup_matches_brute_force(spark, length, parts):
     assert remove_repeats(docs(spark, [])).collect() == []
 
 
+def test_colliding_ranks_remove_nothing(spark, monkeypatch):
+    """With ranks of two bits nearly all strings collide; their bytes decide."""
+    from ribospark.llm import suffix_dedup as x
+
+    raw = np.frombuffer(b"abcabdabcabeabcab" * 20 + bytes(range(256)), np.uint8)
+    for length in (5, 8, 50):
+        where = np.arange(len(raw) - length + 1)
+        order, begins = x._ordered(raw, where, np.zeros(len(where), np.uint64), length)
+        names = np.cumsum(begins)
+        strings = [raw[w : w + length].tobytes() for w in where[order]]
+        assert len(set(zip(strings, names.tolist(), strict=True))) == len(set(strings)) == names[-1]
+    plain = np.zeros(len(raw) - 49, np.uint64) + np.arange(len(raw) - 49, dtype=np.uint64) % np.uint64(2)
+    assert x._ordered(raw, np.arange(len(plain)), plain, 50)[1].sum() == len({raw[w : w + 50].tobytes() for w in range(len(plain))})
+
+
+def test_suffix_dedup_takes_long_texts_whole(spark):
+    rng = random.Random(4)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(3_000_000))
+    rows = [(1, long[:1_500_000]), (2, long), (3, "x" + long[2_999_900:])]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in remove_repeats(docs(spark, rows)).collect()}
+    assert got == {1: (1_500_000, 0, 0), 2: (3_000_000, 1_500_000, 1), 3: (101, 100, 1)}
+
+
 def test_leaks_of_templates(spark):
     item = "A train of the line leaves at 9 and runs 120 km before Anna meets it at 11 in the town"
     other = "Which of the two rivers in the north is longer than the other river in the south"
