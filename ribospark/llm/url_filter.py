@@ -1,9 +1,10 @@
 """URL filter: explicit rules first, else naive Bayes over segmented host and path words.
 
-Host names are cut into words by a unigram Viterbi search over a small lexicon, whose
-counts join a Zipf prior with the counts of those words in the hosts of the whole table.
-The words of host and path then go through multinomial naive Bayes, trained on the
-labelled examples below.
+Names are cut into words by a unigram Viterbi search. Its probabilities mix a Zipf prior over a
+small lexicon and the words of the labelled examples with the counts of the words in the pages
+of the whole table, of which the commonest ``MAX_WORDS`` are kept; parts of host names that are
+such words count again. The words of host and path then go through multinomial naive Bayes,
+trained on the labelled examples, a parameter.
 """
 
 from __future__ import annotations
@@ -17,12 +18,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces
+
 Rule = tuple[str, str]
 
 #: Verdict and rule (host, then path) as the contract of the query gives them.
 RULES: tuple[Rule, ...] = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
-#: Words of host names, commonest first; parameter ``lexicon``.
+#: Words of the table that join the lexicon, the commonest: it is sent to every task.
+MAX_WORDS = 20_000
+
+#: General words of host names and paths, commonest first; parameter ``lexicon``.
 LEXICON = """
 the and of to in for is on that by this with you it not or be are from at as your all have new more an was we
 home page search free but our one other do no information time they site he up may what which their news out use any
@@ -31,28 +37,42 @@ services some these click its like service than find price date back top people
 email two health world next used go work last most products music buy data make them should product system post her city
 add policy number such please available copyright support message after best software then good video well where info
 rights public books high school through each links she review years order very privacy book items company read group
-blog store shop wiki travel games media mobile cheap pills casino win bets bet poker spam farm ads track tracker loan
-loans viagra slots adult dating prize crypto forum science library museum university docs learn
 """.split()
 
-#: Labelled examples the model is trained on.
+#: Labelled examples the model is trained on; parameters ``blocked`` and ``allowed``.
 BLOCKED = """
-casino-win.test/play freecasino.test/slots/win online-casino.test/poker win-prize.test/click pokerbets.test/bonus
-free-bets.test/bet/now bestbets.test/win cheap-pills.test/buy/viagra pills-online.test/cheap buyviagra.test/order/pills
-cheaploans.test/loan/now fastloan.test/loans spam-farm.test/links farmlinks.test/spam linkfarm.test/spam/page
-ads-track.test/click/ads adtracker.test/track adsclick.test/tracker free-ads.test/track cheapslots.test/casino/free
-adult-dating.test/click datingadult.test/free crypto-prize.test/win winprize.test/free/crypto spambets.test/farm
+luckycasino.test/slots/jackpot online-casino.test/poker/bonus pokerroom.test/bonus/spins roulette-club.test/jackpot/win
+bigwins.test/lottery/win sportsbetting.test/odds/bet betting-odds.test/bets/football bestbets.test/bet/win
+slotmachines.test/casino/spins win-lottery.test/prize/claim prize-claim.test/winner/gift winner-gift.test/claim/free
+discountpills.test/viagra/cheap pharmacy-pills.test/cialis/order cheapviagra.test/pills/cheap weightloss-pills.test/diet/miracle
+miraclediet.test/fat/burn steroids-shop.test/pills/buy payday-loans.test/cash/instant instantcash.test/loan/approve
+fastloans.test/credit/cash adultvideo.test/xxx/cams xxx-cams.test/sex/adult sexdating.test/adult/singles
+hot-singles.test/dating/adult adult-toys.test/sex/shop escortgirls.test/adult/sex porn-tube.test/xxx/porn
+crypto-doubler.test/invest/profit bitcoinprofit.test/earn/quick earnmoney.test/quick/rich get-rich.test/money/quick
+cracked-software.test/keygen/warez warez-serials.test/crack/keygen replica-watches.test/rolex/cheap cheapreplica.test/handbags/rolex
+spam-links.test/backlinks/buy backlinks-farm.test/spam/links linkfarm.test/spam/seo seo-spam.test/farm/links
+popup-ads.test/track/click adserver.test/banner/track clicktracker.test/ads/redirect tracker-ads.test/banner/popup
+redirect-track.test/ads/click free-ringtones.test/claim/prize phishing-login.test/verify/account verify-account.test/password/urgent
 """.split()
 ALLOWED = """
-news.test/world/today blog.test/travel/post wiki.test/page/history library.test/books/read science.test/data/group
-museum.test/city/public university.test/school/learn docs.test/software/support forum.test/music/review m.test/news/item
-health.test/information/public citynews.test/state/people company.test/products/service shop.test/order/contact
-bookreview.test/read/books musicblog.test/post/list www.test/home/page www.test/en/page blog.test/de/post m.test/fr/page
-www.test/es/page store.test/product/price worldtravel.test/view/city games.test/review/new mobile.test/support/help
+citynews.test/world/today dailynews.test/politics/local weather-report.test/forecast/city travelguide.test/hotels/europe
+museum.test/city/public university.test/school/learn science-journal.test/data/research physics-lab.test/research/group
+library.test/books/read bookreview.test/read/books poetry.test/history/author history-museum.test/century/war
+cooking.test/recipes/bread garden-tips.test/plants/flowers recipes.test/soup/kitchen healthclinic.test/information/public
+hospital.test/doctors/contact nursing.test/health/care software-docs.test/support/manual opensource.test/code/download
+programming.test/tutorial/python database.test/query/manual musicschool.test/piano/lessons concerthall.test/music/tickets
+sportsclub.test/football/team chess-club.test/games/results cycling.test/routes/maps mountain-hiking.test/trails/maps
+bakery.test/order/contact furniture.test/products/chairs bikeshop.test/parts/price electronics.test/product/review
+government.test/policy/law courts.test/public/law parliament.test/state/people election.test/results/state
+trainstation.test/time/table airport.test/flights/arrivals cityguide.test/view/map realestate.test/houses/garden
+kindergarten.test/children/school familyblog.test/post/summer photography.test/gallery/landscape filmreview.test/movies/review
+forum.test/discussion/help wiki.test/page/history company.test/products/service jobs.test/office/work
 """.split()
 
 OTHER, NUMBER = "<other>", "<number>"
-SKIP = {"", "www", "m", "http", "https", "html", "htm", "php"}
+SKIP = {"", "www", "http", "https", "html", "htm", "php"}
+#: First labels of hosts that say how a site is served, not what it is.
+GENERIC = {"www", "m", "blog", "mobile", "web", "home", "shop", "store", "news", "forum", "wiki", "docs", "mail", "static", "cdn", "img", "api", "app"}
 
 
 class Segmenter:
@@ -64,18 +84,24 @@ class Segmenter:
         self.longest = max(map(len, counts))
         self.unknown = math.log(total)
 
-    def cut(self, name: str) -> list[str]:
+    def best(self, name: str) -> tuple[float, list[str]]:
+        """Cost and words of the most probable cut; letters of unknown stretches come one by one."""
         best: list[tuple[float, int]] = [(0.0, 0)]
         for end in range(1, len(name) + 1):
-            # An unknown letter extends the unknown stretch before it or begins one; words must pay against that.
-            best.append(min((best[s][0] + self.cost[name[s:end]], s) for s in range(max(0, end - self.longest), end) if name[s:end] in self.cost) if any(name[s:end] in self.cost for s in range(max(0, end - self.longest), end)) else (math.inf, end))
-            best[end] = min(best[end], (best[end - 1][0] + self.unknown, end - 1))
+            cut = (best[end - 1][0] + self.unknown, end - 1)
+            for s in range(max(0, end - self.longest), end):
+                cost = self.cost.get(name[s:end])
+                if cost is not None and best[s][0] + cost < cut[0]:
+                    cut = (best[s][0] + cost, s)
+            best.append(cut)
         words, end = [], len(name)
         while end:
-            start = best[end][1]
-            words.append(name[start:end])
-            end = start
-        return _joined(words[::-1], self.cost)
+            words.append(name[best[end][1] : end])
+            end = best[end][1]
+        return best[-1][0], words[::-1]
+
+    def cut(self, name: str) -> list[str]:
+        return _joined(self.best(name)[1], self.cost)
 
 
 def _joined(words: list[str], known) -> list[str]:
@@ -94,24 +120,30 @@ class UrlModel:
 
     def __init__(self, counts: dict[str, float], blocked: list[str] = BLOCKED, allowed: list[str] = ALLOWED, smooth: float = 0.5):
         self.segmenter, self.seen = Segmenter(counts), {}
-        found = [Counter(), Counter()]
+        self.found = [Counter(), Counter()]
         for k, urls in enumerate((allowed, blocked)):
             for u in urls:
                 host, _, path = u.partition("/")
-                found[k].update(w for w in self.words(host, f"/{path}") if w != OTHER)
-        size = [sum(c.values()) + smooth * (len(counts) + 2) for c in found]
-        self.weight = {w: math.log((found[1][w] + smooth) / size[1]) - math.log((found[0][w] + smooth) / size[0]) for w in {*found[0], *found[1]}}
+                self.found[k].update(w for w in self.words(host, f"/{path}") if w not in (OTHER, NUMBER))
+        vocabulary = {*self.found[0], *self.found[1]}
+        size = [sum(c.values()) + smooth * len(vocabulary) for c in self.found]
+        self.weight = {w: math.log((self.found[1][w] + smooth) / size[1]) - math.log((self.found[0][w] + smooth) / size[0]) for w in vocabulary}
         self.prior = math.log(len(blocked) / len(allowed))
 
-    def words(self, host: str, path: str) -> list[str]:
-        """Words of the host without its top-level name, then of the path."""
-        if host not in self.seen:
+    def _cut(self, part: str) -> list[str]:
+        """Words of one part of a name, remembered."""
+        if part not in self.seen:
             if len(self.seen) > 100_000:
                 self.seen.clear()
-            parts = re.split(r"[^a-z0-9]+", host.rpartition(".")[0])
-            self.seen[host] = [w if w in self.segmenter.cost else OTHER for p in parts if p not in SKIP for w in self.segmenter.cut(p)]
-        parts = (p for p in re.split(r"[^a-z0-9]+", path.lower()) if p not in SKIP)
-        return self.seen[host] + [NUMBER if p.isdigit() else p if p in self.segmenter.cost else OTHER for p in parts]
+            self.seen[part] = [NUMBER] if part.isdigit() else [w if w in self.segmenter.cost else OTHER for w in self.segmenter.cut(part)]
+        return self.seen[part]
+
+    def words(self, host: str, path: str) -> list[str]:
+        """Words of the host without its top-level name and a generic first label, then of the path."""
+        labels = host.split(".")[:-1]
+        labels = labels[1:] if len(labels) > 1 and labels[0] in GENERIC else labels
+        parts = [p for x in labels for p in re.split(r"[^a-z0-9]+", x)] + re.split(r"[^a-z0-9]+", path.lower())
+        return [w for p in parts if p not in SKIP for w in self._cut(p)]
 
     def score(self, host: str, path: str) -> float:
         """Log odds of block. Words that no example has weigh nothing."""
@@ -139,28 +171,41 @@ def matched_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     return reduce(lambda rest, r: F.when(fits(r[1]), F.struct(F.lit(r[1]).alias("rule"), F.lit(r[0]).alias("verdict"))).otherwise(rest), longest_last, none)
 
 
-def lexicon_counts(hosts: DataFrame, lexicon: list[str] = LEXICON) -> dict[str, float]:
-    """Zipf prior of the lexicon plus, damped, how often each word is a part of a host in the whole table; at most ``len(lexicon)`` rows come back."""
-    parts = hosts.groupBy("host").count().select("count", F.explode(F.split("host", "[^a-z]+")).alias("word"))
-    found = parts.where(F.col("word").isin(lexicon)).groupBy("word").agg(F.sum("count").alias("n")).collect()
-    n = {r.word: r.n for r in found}
-    return {w: 1e6 / (i + 1) + math.sqrt(n.get(w, 0)) for i, w in enumerate(dict.fromkeys(lexicon))}
-
-
-def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, lexicon: list[str] = LEXICON, threshold: float = 1.0, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def lexicon_counts(rows: DataFrame, lexicon: list[str] = LEXICON, examples: tuple[str, ...] = (*BLOCKED, *ALLOWED), max_words: int = MAX_WORDS) -> dict[str, float]:
+    """Counts of words, in all a million: half by a Zipf prior over ``lexicon`` and the words of ``examples``, half as the words of
+    ``rows(host, path, text)`` occur. At most ``max_words`` words of the table, the commonest, come to the driver."""
+    told = re.findall("[a-z]+", " ".join(re.sub("[.]test/", " ", x) for x in examples))
+    short = {w for x in examples for w in x.partition("/")[2].split("/")}  # path words of examples are single words
+    prior = {w: 1 / (i + 10) for i, w in enumerate(dict.fromkeys([*lexicon, *(w for w in told if w in short)]))}
+    words = lambda c: F.explode(F.regexp_extract_all(F.lower(c), F.lit("(?<![a-z])[a-z]{3,20}(?![a-z])"), 0))
+    text = rows.select(words(F.concat_ws(" ", "path", F.regexp_replace("text", "<[^>]*>", " "))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    top = text.orderBy(F.desc("n"), "word").limit(max_words)
+    hosts = rows.groupBy("host").count().select("count", words(F.col("host")).alias("word")).groupBy("word").agg(F.sum("count").alias("hosts"))
+    found = {r.word: r.n + (r.hosts or 0) for r in top.join(hosts, "word", "left").collect()}
+    share = lambda counts: {w: n / sum_ for sum_ in [sum(counts.values()) or 1] for w, n in counts.items()}
+    a, b = share(prior), share(found)
+    return {w: 5e5 * (a.get(w, 0) + b.get(w, 0)) + 1e-3 for w in {**a, **b}}
+
+
+def filter_urls(
+    pages: DataFrame, rules: tuple[Rule, ...] = RULES, lexicon: list[str] = LEXICON, blocked: list[str] = BLOCKED, allowed: list[str] = ALLOWED,
+    threshold: float = 1.0, id_col: str = "page_id", url_col: str = "url", text_col: str = "html",
+) -> DataFrame:
     """One row per input row: ``page_id, host, path, rule, verdict, score``.
 
     The longest fitting rule decides; without one, log odds above ``threshold`` block. A url that is null or
-    has no ``://`` has empty host and path, no rule, and only the prior's odds (allow). Ids may be null or
-    repeated. An empty table gives an empty result.
+    has no ``://`` has empty host and path, no rule, and only the prior's odds (allow); very long ones are judged whole.
+    Ids may be null or repeated. Without a ``text_col`` words are counted in paths and hosts alone. An empty table gives an
+    empty result; other columns are ignored, whatever their names.
     """
     url = F.col(url_col)
     host, path = split_url(url)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    model = UrlModel(lexicon_counts(rows, lexicon))
+    texts = pages.select(host.alias("host"), path.alias("path"), (F.col(text_col) if text_col in pages.columns else F.lit(None).cast("string")).alias("text"))
+    model = UrlModel(lexicon_counts(texts, lexicon, (*blocked, *allowed)), blocked, allowed)
 
     def judged(batches):
-        for batch in batches:
+        for batch in pieces(batches, 5000):
             pairs = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
             yield pa.record_batch({"page_id": batch.column(0), "host": batch.column(1), "path": batch.column(2), "score": pa.array([model.score(h, p) for h, p in pairs], pa.float64())})
 

@@ -82,6 +82,43 @@ def test_near_duplicates_by_five_words_and_four_fifths(spark):
     assert {r.doc_id for r in p.near_duplicates(spark, df, SF).collect()} == set(union_find(list(sets), edges).values())
 
 
+def test_sharded_rows_keep_their_columns(spark, stages):
+    _, before, after = stages[4]
+    assert set(before.columns) <= set(after.columns)
+    assert Counter(tuple(r) for r in after.select(before.columns).collect()) == Counter(tuple(r) for r in before.collect())
+    slots = {}
+    for r in after.select("shard", "slot").collect():
+        slots.setdefault(r["shard"], []).append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+ODD = [
+    (1, "Some plain words of a usual text, long enough.", "en", None), (1, "Some plain words of a usual text, long enough.", "en", None), (2, None, None, "s"), (None, "no id here", "en", "s"),
+    (None, None, None, None), (3, "", "en", "s"), (4, " \n\t", "en", ""), (5, "w" * 200_000, "en", "s"), (6, "many words " * 40_000, "en", "t"), (7, "\u00e9\u2028\x1f", "fr", "t"),
+]
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_odd_rows_in_each_stage(spark, k):
+    name, stage = p.STAGES[k]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, size int, shard string, node string, tokens int, score double, _id int, h string"
+    df = spark.createDataFrame([(*r, 1, 2, "x", "n", 3, 0.5, 4, "h") for r in ODD], schema).repartition(3)
+    got, given = stage(spark, df, SF), Counter(tuple(r)[:5] for r in df.collect())
+    rows = got.collect()
+    if k < 4:
+        assert got.columns == df.columns and {tuple(r)[:5] for r in rows} <= set(given)
+    else:
+        assert Counter((r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in rows) == given and {"node", "tokens", "h"} <= set(got.columns)
+    if k in (0, 2):
+        assert all(Counter(tuple(r)[:5] for r in rows)[x] in (0, given[x]) for x in given)
+    if k == 2:
+        assert len(rows) == len(ODD)
+    if k == 1:
+        assert Counter(tuple(r)[:5] for r in rows) == Counter(set(given))
+    none = stage(spark, df.limit(0), SF)
+    assert none.columns == got.columns and none.collect() == []
+
+
 def test_entry_lists_all_operators():
     entry = importlib.import_module("__spark_entry__")
     names = {n.split("_")[0] for n in entry.queries()}

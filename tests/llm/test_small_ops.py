@@ -13,7 +13,7 @@ from ribospark.llm import warc
 from ribospark.llm.exact_dedup import CountingQuotientFilter, exact_dedup
 from ribospark.llm.mixing import mix, mixed_documents
 from ribospark.llm.sharding import even_tree, shard_documents
-from ribospark.llm.url_filter import LEXICON, Segmenter, filter_urls
+from ribospark.llm.url_filter import ALLOWED, BLOCKED, Segmenter, UrlModel, filter_urls, lexicon_counts
 
 ODD = [
     (1, "Alpha beta"), (2, "alpha BETA"), (3, ""), (4, None), (5, "ÉCOLE"), (6, "école"), (7, "x" * 200_000), (8, "X" * 200_000),
@@ -353,6 +353,59 @@ def test_url_rules_and_verdicts(spark):
 
 
 def test_segmenter_takes_the_likeliest_cut():
-    s = Segmenter({w: 1e6 / (i + 1) for i, w in enumerate(LEXICON)})
-    assert s.cut("cheappills") == ["cheap", "pills"] and s.cut("onlinenewsblog") == ["online", "news", "blog"]
-    assert s.cut("ththrer") == ["ththrer"] and s.cut("") == []
+    """Against every cut of random names."""
+    import math
+    import random
+
+    rng = random.Random(6)
+    counts = {"".join(rng.choice("ab") for _ in range(rng.randint(1, 4))): rng.randint(1, 100) for _ in range(9)}
+    s, total = Segmenter(counts), sum(counts.values())
+
+    def costs(name):
+        if not name:
+            return 0.0
+        cuts = [math.log(total / counts[name[:n]]) + costs(name[n:]) for n in range(1, len(name) + 1) if name[:n] in counts]
+        return min([*cuts, math.log(total) + costs(name[1:])])
+
+    for _ in range(200):
+        name = "".join(rng.choice("abc") for _ in range(rng.randint(0, 9)))
+        cost, words = s.best(name)
+        assert "".join(words) == name and abs(cost - costs(name)) < 1e-9 and "".join(s.cut(name)) == name
+
+
+def url_model(spark, blocked=BLOCKED, allowed=ALLOWED):
+    return UrlModel(lexicon_counts(spark.createDataFrame([], "host string, path string, text string")), blocked, allowed)
+
+
+def test_names_are_cut_into_words(spark):
+    m = url_model(spark)
+    assert m.words("freecasinoslots.com", "/cheapviagra/12") == ["free", "casino", "slots", "cheap", "viagra", "<number>"]
+    assert m.words("blog.ththrer.com", "/") == ["<other>"] and m.words("", "") == []
+
+
+def test_url_scores_are_naive_bayes(spark):
+    import math
+
+    m = url_model(spark)
+    words = {k: [w for u in urls for w in m.words(u.partition("/")[0], "/" + u.partition("/")[2]) if w[0] != "<"] for k, urls in ((0, ALLOWED), (1, BLOCKED))}
+    vocabulary = set(words[0]) | set(words[1])
+    p = lambda w, k: math.log((words[k].count(w) + 0.5) / (len(words[k]) + 0.5 * len(vocabulary)))
+    for host, path in (("casino-news.com", "/cheap/pills"), ("library.org", "/x"), ("", ""), ("adult.net", "/research/9")):
+        want = math.log(len(BLOCKED) / len(ALLOWED)) + sum(p(w, 1) - p(w, 0) for w in m.words(host, path) if w in vocabulary)
+        assert abs(m.score(host, path) - want) < 1e-9
+
+
+def test_url_verdicts_on_examples_kept_apart(spark):
+    hit = false = 0
+    for fold in range(5):
+        rest = lambda urls, f=fold: [u for i, u in enumerate(urls) if i % 5 != f]
+        m = url_model(spark, rest(BLOCKED), rest(ALLOWED))
+        bad = lambda urls, f=fold, m=m: sum(m.score(u.partition("/")[0], "/" + u.partition("/")[2]) > 1 for i, u in enumerate(urls) if i % 5 == f)
+        hit, false = hit + bad(BLOCKED), false + bad(ALLOWED)
+    assert hit >= 0.9 * len(BLOCKED) and false <= 0.05 * len(ALLOWED)
+
+
+def test_words_of_the_table_join_the_lexicon(spark):
+    rows = [("a.com", "/", "<p class='hidden'>Zebra zebra quokka</p>")] * 3 + [("zebra-x.com", None, None)]
+    counts = lexicon_counts(spark.createDataFrame(rows, "host string, path string, text string"), max_words=1)
+    assert "zebra" in counts and "quokka" not in counts and "hidden" not in counts and "casino" in counts
