@@ -176,27 +176,26 @@ def _ordered(raw: np.ndarray, where: np.ndarray, pair: np.ndarray, length: int)
 
     Where pairs of different strings collide, all are sorted by their bytes instead.
     """
-    order = np.argsort(pair, kind="stable")
+    order = np.argsort(pair, kind="stable").astype(where.dtype)
     sorted_pair = pair[order]
-    same = np.flatnonzero(sorted_pair[1:] == sorted_pair[:-1])
+    begins = np.ones(len(order), bool)
+    begins[1:] = sorted_pair[1:] != sorted_pair[:-1]
+    del sorted_pair
     words = np.lib.stride_tricks.as_strided(raw, (max(len(raw) - 7, 0), 8), (1, 1)) if len(raw) >= 8 else np.zeros((0, 8), np.uint8)
     parts = [*range(0, length - 7, 8), length - 8] if length >= 8 else []
-    equal = np.ones(len(same), bool)
-    for a in range(0, len(same), 1 << 18):
-        x, y = where[order[same[a : a + (1 << 18)]]], where[order[same[a : a + (1 << 18)] + 1]]
-        fine = np.ones(len(x), bool)
+    fine = True
+    for a in range(0, len(order) - 1, 1 << 16):
+        same = a + np.flatnonzero(~begins[a + 1 : a + 1 + (1 << 16)])
+        x, y = where[order[same]].astype(np.int64), where[order[same + 1]].astype(np.int64)
         for at in parts:
-            fine &= np.ascontiguousarray(words[x + at]).view("<u8").ravel() == np.ascontiguousarray(words[y + at]).view("<u8").ravel()
+            fine &= bool((words[x + at] == words[y + at]).all())
         for at in range(length) if not parts else ():
-            fine &= raw[x + at] == raw[y + at]
-        equal[a : a + (1 << 18)] = fine
-    if not equal.all():
+            fine &= bool((raw[x + at] == raw[y + at]).all())
+    if not fine:
         rows = np.lib.stride_tricks.as_strided(raw, (len(raw) - length + 1, length), (1, 1))
         named = np.unique(np.ascontiguousarray(rows[where]).view(f"V{length}").ravel(), return_inverse=True)[1].ravel()
         order = np.argsort(named, kind="stable")
         return order, np.concatenate([[True], named[order][1:] != named[order][:-1]])
-    begins = np.ones(len(order), bool)
-    begins[same + 1] = False
     return order, begins
 
 
@@ -212,16 +211,23 @@ def _doubled(length: int):
         ranks = half_ranks(raw, k)
         offset = np.concatenate([[0], np.cumsum(size)[:-1]])
         n = size - length + 1
-        item = np.repeat(np.arange(len(n)), n)
-        at = np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n)
-        where = offset[item] + at
+        short = np.int32 if len(raw) < 1 << 31 else np.int64  # half the memory while positions fit
+        item = np.repeat(np.arange(len(n), dtype=short), n)
+        at = (np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n)).astype(short)
+        where = offset.astype(short)[item] + at
         with np.errstate(over="ignore"):
-            pair = mix(ranks[where] * np.uint64(3) + ranks[where + length - k])
+            pair = ranks[where] * np.uint64(3)
+            pair += ranks[where + short(length - k)]
+            del ranks
+            pair = mix(pair)
         order, begins = _ordered(raw, where, pair, length)
+        del pair, where
         first = np.flatnonzero(begins)
-        least = np.minimum.reduceat(ids[item][order], first) if len(first) else np.zeros(0, np.int64)
+        of = ids[item[order]]
+        least = np.minimum.reduceat(of, first) if len(first) else np.zeros(0, np.int64)
         earlier = np.zeros(len(order), bool)
-        earlier[order] = np.repeat(least, np.diff(np.append(first, len(order)))) < ids[item][order]
+        earlier[order] = np.repeat(least, np.diff(np.append(first, len(order)))) < of
+        del order, of, least, begins
         hit = np.flatnonzero(earlier)
         begin = hit[(np.diff(hit, prepend=-2) != 1) | (at[hit] == 0)] if len(hit) else hit
         end = np.append(np.flatnonzero((np.diff(hit, prepend=-2) != 1) | (at[hit] == 0))[1:], len(hit)) - 1 if len(hit) else hit
