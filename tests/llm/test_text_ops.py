@@ -14,6 +14,7 @@ from ribospark.llm.decontaminate import decontaminate, leaks
 from ribospark.llm.jaccard_join import jaccard_components
 from ribospark.llm.licenses import scan_licenses
 from ribospark.llm.quality import fit, fit_quality, keep_good, ngrams, score_quality
+from ribospark.llm.prefix_doubling import repeats_by_doubling
 from ribospark.llm.suffix_dedup import remove_repeats
 
 EXTRA = "doc_id long, text string, node string, n int"
@@ -126,6 +127,9 @@ def test_suffix_dedup_matches_brute_force(spark, length, parts):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == removed(rows, length)
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got)
     assert remove_repeats(docs(spark, [])).collect() == []
+    if length == 50 and parts == 4:
+        got = repeats_by_doubling(docs(spark, rows, parts), length).collect()
+        assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == removed(rows, length)
 
 
 def test_colliding_ranks_remove_nothing(spark, monkeypatch):
