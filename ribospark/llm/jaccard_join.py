@@ -31,7 +31,7 @@ ORDERS = 3
 #: Texts, and shingles of texts, that one tile holds about.
 TILE, TILE_SHINGLES = 1500, 1 << 19
 #: A block of so few tiles, over its bands, is verified as one.
-BANDS_OF_A_TILE = 1
+BANDS_OF_A_TILE = 3
 
 
 def _packed(k: int, ranges: int):
