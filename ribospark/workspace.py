@@ -53,5 +53,5 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage and gives joins true sizes."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 32 << 20).parquet(path)  # a writer holds that much before it writes
     return spark.read.schema(df.schema).parquet(path)
