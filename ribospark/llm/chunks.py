@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, written
+from .common import bounded_batches, pieces, written
 
 CHUNK_DOCS = (1 << 16) - 1
 #: Stands for a null id: after every other. A real id of this value is refused.
@@ -84,6 +84,7 @@ def hash_ranges(chunks: DataFrame, bytes_per_hash: int) -> int:
 def chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Written rows ``base, bytes, ids, sizes, source, body``: a chunk's ids in order, its text sizes, the place of the
     copy that stands for each text, and the distinct texts compressed. Null ids are ``LAST``, null texts empty."""
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return written(texts.mapInArrow(_packed(chunk_bytes(docs.sparkSession)), CHUNK), "chunks")
 

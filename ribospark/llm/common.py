@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.kmers import let
 from ..workspace import fresh_path, materialize, remove, workspace
 
-__all__ = ["WORD", "components", "discard", "fresh_path", "join_hot", "let", "lowered", "materialize", "pieces", "release", "written", "workspace"]
+__all__ = ["WORD", "bounded_batches", "components", "discard", "fresh_path", "join_hot", "let", "lowered", "materialize", "pieces", "release", "written", "workspace"]
 
 #: Words of a text: runs of anything but space and the control characters 9 to 13.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -34,11 +34,20 @@ def pieces(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
             yield batch.slice(a, rows)
 
 
+def bounded_batches(spark: SparkSession, records: int = 2000) -> None:
+    """Fewer rows in an Arrow batch than Spark's default, for whole texts: the memory of a task outside the heap follows them.
+
+    It lowers the session's limit and leaves it so, as results are computed after their function has returned.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > records:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``materialize``, for a table that ``discard`` gives back when it has been read."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("parquet.block.size", 32 << 20).parquet(path)  # a writer holds that much before it writes
+    df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pieces
+from .common import bounded_batches, materialize, pieces
 
 DIMS = 1 << 17
 TRIGRAM_DIMS = 1 << 16
@@ -147,6 +147,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     Rows without id or label are left out; of several labels of one id the larger counts. Without
     two classes the model scores every text the smoothed share of label 1.
     """
+    bounded_batches(docs.sparkSession)
     chosen = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)")
     chosen = chosen.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("label").alias("label"))
     chosen = materialize(chosen.withColumn("place", F.xxhash64("id")).orderBy("place", "id").limit(max_train), "labels")
@@ -174,6 +175,7 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
 
     Ids may be null or repeated. An empty table gives an empty result; very long texts are taken whole.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
     rows = rows.mapInArrow(_scorer(model), "doc_id long, score double")
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -181,6 +183,7 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
 
 def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``, with their own columns."""
+    bounded_batches(docs.sparkSession)
     plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], F.col(text_col).alias("_text"))
     schema = ", ".join(f"c{i} {t}" for i, (_, t) in enumerate(docs.dtypes)) + ", score double"
     kept = plain.mapInArrow(_scorer(model), schema).where(F.col("score") >= threshold)
